@@ -1,7 +1,9 @@
 """Catalog predicates as Column builders.
 
-Each returns a boolean that is never null, so the predicates can be negated
-and combined freely: a missing list, map or price simply does not match.
+Predicates on flat columns are plain comparisons, which Spark pushes into the
+scan; as a filter, a missing value does not match.  Predicates on lists and
+maps cannot be pushed and are false instead of null, so a missing list or map
+does not match either, also below a negation.
 """
 
 from __future__ import annotations
@@ -14,7 +16,7 @@ def _false_if_null(condition: Column) -> Column:
 
 
 def has_sku(sku: str) -> Column:
-    return _false_if_null(F.col("sku") == sku)
+    return F.col("sku") == sku
 
 
 def has_size(size: str | Column) -> Column:
@@ -38,11 +40,11 @@ def has_occasion(occasion: str) -> Column:
 
 
 def in_category(category: str) -> Column:
-    return _false_if_null(F.col("category") == category)
+    return F.col("category") == category
 
 
 def price_up_to(ceiling: float) -> Column:
-    return _false_if_null(F.col("price_eur") <= ceiling)
+    return F.col("price_eur") <= ceiling
 
 
 def in_stock() -> Column:

@@ -31,4 +31,5 @@ def unit(vector: Column) -> Column:
 
 
 def cosine(a: Column, b: Column) -> Column:
-    return dot(a, b) / (norm(a) * norm(b))
+    """Null when one of the vectors has no length."""
+    return F.try_divide(dot(a, b), norm(a) * norm(b))

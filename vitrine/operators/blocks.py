@@ -1,19 +1,22 @@
-"""Top-k scoring of many queries against many entries, block by block.
-
-Entries are dealt into blocks of a bounded number; every query visits every
-block and leaves its best ``k`` there.  A partition holds whole blocks and is
-sorted so that the entries of a block arrive before the queries.  The task
-keeps the entries of one block as arrays and lets the queries stream past in
-Arrow batches, so its memory does not depend on the number of queries, and no
-pair of query and entry is ever a row: only ``k`` rows per query and block are.
-
-Blocks follow a hash of the entry id.  A frequent word, a frequent source or a
-popular query therefore loads all blocks alike.
+"""Top-k scoring of many queries against many entries on a grid of blocks.
+
+Entries are dealt into blocks of a bounded number, queries into slices; each
+cell of the grid scores one block against one slice and keeps the best ``k``
+entries of every query.  A cell is a partition, sorted so that the entries
+arrive before the queries: the task holds the entries as arrays and lets the
+queries stream past in Arrow batches, so its memory does not depend on the
+number of queries.  No pair of query and entry is ever a row, only the ``k``
+best per query and block are.
+
+Blocks and slices follow hashes of the unique ids.  A frequent word, a
+frequent source or a popular question therefore loads all cells alike.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -24,15 +27,26 @@ DECIMALS = 6
 _CELLS = 1 << 21
 
 
-def block_count(n_entries: int, per_block: int, parallelism: int) -> int:
-    """Enough blocks to bound their size, and to give each core one when entries abound."""
-    for_size = -(-n_entries // per_block)
-    for_cores = min(parallelism, n_entries // 256)
-    return max(1, for_size, for_cores)
+@dataclass(frozen=True)
+class Grid:
+    """``blocks`` of entries times ``slices`` of queries."""
+
+    blocks: int
+    slices: int
 
+    @classmethod
+    def for_sizes(cls, n_entries: int, n_queries: int, per_block: int, cores: int) -> Grid:
+        """The grid with the fewest copies.
 
-def block_of(id_column: Column, n_blocks: int) -> Column:
-    return F.pmod(F.xxhash64(id_column), F.lit(n_blocks)).cast("int")
+        Every entry is copied to each slice and every query to each block.
+        Memory asks for at least ``n_entries / per_block`` blocks; beyond that
+        about one cell per core is wanted, shaped like the ratio of the sizes.
+        """
+        needed = max(1, -(-n_entries // per_block))
+        cells = min(cores, max(1, (n_entries + n_queries) // 1024))
+        balanced = round(math.sqrt(cells * n_entries / max(1, n_queries)))
+        blocks = max(needed, min(balanced, cells), 1)
+        return cls(blocks, max(1, cells // blocks))
 
 
 def top_cells(scores: np.ndarray, k: int, valid: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -67,27 +81,42 @@ def _runs(values: np.ndarray) -> Iterator[tuple[int, int]]:
     yield from zip(bounds[:-1].tolist(), bounds[1:].tolist())
 
 
-def score_blocks(
+def score_grid(
     entries: DataFrame,
     queries: DataFrame,
-    n_blocks: int,
+    grid: Grid,
     load: Callable[[pa.Table], object],
     score: Callable[[object, pa.Table], pa.RecordBatch | None],
+    entry_key: str,
     query_key: str,
-    schema: str,
 ) -> DataFrame:
-    """Run ``score(load(entries of a block), queries)`` for every block.
+    """Run ``score(load(entries of a block), queries)`` in every cell of the grid.
 
-    Both tables have the same columns, among them ``block``.  All rows with
-    one ``query_key`` reach ``score`` together.
+    Columns missing from one of the tables are null in the other's rows.  All
+    rows with one ``query_key`` reach ``score`` together.  The result has the
+    columns ``query_key``, ``entry_key`` and ``score``.
     """
-    both = entries.withColumn("is_query", F.lit(0)).unionByName(queries.withColumn("is_query", F.lit(1)))
-    placed = both.repartitionById(n_blocks, F.col("block")).sortWithinPartitions("block", "is_query", query_key)
+    block = F.pmod(F.xxhash64(entry_key), F.lit(grid.blocks)).cast("int") * grid.slices
+    slice_ = F.pmod(F.xxhash64(query_key), F.lit(grid.slices)).cast("int")
+
+    def cells(first: Column, step: int, n: int) -> Column:
+        return F.explode(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: first + i * step))
+
+    placed = (
+        entries.select("*", F.lit(0).alias("is_query"), cells(block, 1, grid.slices).alias("cell"))
+        .unionByName(
+            queries.select("*", F.lit(1).alias("is_query"), cells(slice_, grid.slices, grid.blocks).alias("cell")),
+            allowMissingColumns=True,
+        )
+        .repartitionById(grid.blocks * grid.slices, F.col("cell"))
+        .sortWithinPartitions("cell", "is_query", query_key)
+    )
+    types = {f.name: f.dataType.simpleString() for f in placed.schema.fields}
+    schema = f"{query_key} {types[query_key]}, {entry_key} {types[entry_key]}, score double"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pending: list[pa.RecordBatch] = []
-        block, state = None, None
-        loaded = False
+        cell, state, loaded = None, None, False
 
         def flush(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if parts and state is not None:
@@ -98,14 +127,14 @@ def score_blocks(
         for batch in batches:
             if batch.num_rows == 0:
                 continue
-            blocks = batch.column("block").to_numpy()
+            cells = batch.column("cell").to_numpy()
             kinds = batch.column("is_query").to_numpy()
-            for begin, end in _runs(blocks.astype(np.int64) * 2 + kinds):
+            for begin, end in _runs(cells.astype(np.int64) * 2 + kinds):
                 part = batch.slice(begin, end - begin)
-                if blocks[begin] != block:
+                if cells[begin] != cell:
                     if loaded:
                         yield from flush(pending)
-                    block, state, loaded, pending = blocks[begin], None, False, []
+                    cell, state, loaded, pending = cells[begin], None, False, []
                 if kinds[begin] == 0:
                     pending.append(part)
                     continue
@@ -132,12 +161,9 @@ def score_blocks(
     return placed.mapInArrow(run, schema)
 
 
-def visit_all(queries: DataFrame, n_blocks: int) -> DataFrame:
-    """A copy of every query row for each block."""
-    return queries.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
-
-
-def best_overall(partial: DataFrame, query_key: str, id_col: str, k: int) -> DataFrame:
-    """The best ``k`` rows per query over all blocks, with their rank."""
-    order = Window.partitionBy(query_key).orderBy(F.desc("score"), id_col)
-    return partial.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+def best_overall(partial: DataFrame, query_key: str, entry_key: str, k: int) -> DataFrame:
+    """The best ``k`` rows per query over all blocks: ``(query_key, rank, entry_key, score)``."""
+    order = Window.partitionBy(query_key).orderBy(F.desc("score"), entry_key)
+    rounded = partial.withColumn("score", F.round("score", DECIMALS))
+    ranked = rounded.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    return ranked.select(query_key, "rank", entry_key, "score")

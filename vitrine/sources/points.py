@@ -12,21 +12,28 @@ def write_results(results: DataFrame, path: str) -> None:
     results.write.mode("overwrite").json(path)
 
 
-def latest_by_key(rows: DataFrame, key: str, version: str) -> DataFrame:
-    """Keep, per key, the row with the highest version.
+def latest_by_key(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
+    """Keep, per key, the row that is last in ``order``.
 
-    ``max_by`` merges partial results in every task, so a key holding a third
-    of all rows reaches the shuffle as one row per task.  Equal versions are
-    settled by the whole row, which makes replaying a batch change nothing.
+    The maximum of a struct merges partial results in every task, so a key
+    holding a third of all rows reaches the shuffle as one row per task.  Rows
+    equal in ``order`` are settled by their other columns, which makes
+    replaying a batch change nothing.
     """
     rest = [c for c in rows.columns if c != key]
-    newest = F.max(F.struct(F.col(version), *[F.col(c) for c in rest if c != version]))
-    return rows.groupBy(key).agg(newest.alias("_row")).select(key, *[F.col(f"_row.{c}").alias(c) for c in rest])
+    last = F.max(F.struct(*order, *[c for c in rest if c not in order]))
+    return rows.groupBy(key).agg(last.alias("_row")).select(key, *[F.col(f"_row.{c}").alias(c) for c in rest])
 
 
 def upsert(existing: DataFrame, incoming: DataFrame, key: str = "id", version: str = "version") -> DataFrame:
-    """Points after an upsert: an incoming id replaces the stored one, new ids are added."""
-    return latest_by_key(existing.unionByName(incoming, allowMissingColumns=True), key, version)
+    """Points after an upsert: new ids are added, known ones replaced.
+
+    A stored point stays only if its version is higher than the incoming one.
+    """
+    both = existing.withColumn("_incoming", F.lit(0)).unionByName(
+        incoming.withColumn("_incoming", F.lit(1)), allowMissingColumns=True
+    )
+    return latest_by_key(both, key, [version, "_incoming"]).drop("_incoming")
 
 
 def dimension_check(points: DataFrame, dim: int, column: str = "embedding") -> DataFrame:
@@ -74,7 +81,7 @@ class PointTable:
         checked = dimension_check(incoming, self.dim)
         fresh = checked.filter("accepted").drop("dim", "accepted")
         done = self._generations()
-        merged = upsert(self.read(), fresh) if done else latest_by_key(fresh, "id", "version")
+        merged = upsert(self.read(), fresh) if done else latest_by_key(fresh, "id", ["version"])
         merged.write.parquet(f"{self.root}/generation={(done[-1] + 1) if done else 0}")
         return checked.filter(~F.col("accepted"))
 

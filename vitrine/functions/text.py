@@ -57,17 +57,47 @@ def stripped(text: Column) -> Column:
     return F.regexp_replace(text, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")
 
 
-def _cut(text: Column, spans: Column) -> Column:
-    """The stripped, non-empty substrings of ``text`` at ``array<struct<s,e>>`` spans."""
-    pieces = F.transform(spans, lambda p: stripped(F.substring(text, p["s"] + 1, p["e"] - p["s"])))
-    return F.filter(pieces, lambda piece: piece != "")
-
-
 def let(value: Column, body) -> Column:
     """``body`` applied to ``value``, which is evaluated once however often it is used."""
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+# a long text is cut into stretches of this many characters first
+_STRETCH = 64 * (CHUNK_SIZE - CHUNK_OVERLAP)
+
+
+def with_reader(text: Column, longest: int, body) -> Column:
+    """``body(read)``, where ``read(start, n)`` is the substring at a 0-based start, ``n <= longest``.
+
+    Finding a character means walking the text from its beginning, so reading
+    every part of a text takes quadratic time.  The text is cut once into
+    stretches that overlap by ``longest``, and each read walks one of them.
+    """
+    last = F.floor(F.length(text) / F.lit(_STRETCH)).cast("int")
+    stretches = F.transform(
+        F.sequence(F.lit(0), last), lambda j: F.substring(text, j * _STRETCH + 1, F.lit(_STRETCH + longest))
+    )
+
+    def reading(cut: Column) -> Column:
+        def read(start: Column, n: Column) -> Column:
+            stretch = F.element_at(cut, F.floor(start / F.lit(_STRETCH)).cast("int") + 1)
+            return F.substring(stretch, start % _STRETCH + 1, n)
+
+        return body(read)
+
+    return let(stretches, reading)
+
+
+def _cut(text: Column, spans: Column, longest: int) -> Column:
+    """The stripped, non-empty substrings of ``text`` at ``array<struct<s,e>>`` spans."""
+
+    def cut(read) -> Column:
+        pieces = F.transform(spans, lambda p: stripped(read(p["s"], p["e"] - p["s"])))
+        return F.filter(pieces, lambda piece: piece != "")
+
+    return with_reader(text, longest, cut)
+
+
 def window_spans(length: Column, base: Column, size: int, overlap: int) -> Column:
     """Spans of fixed windows over ``length`` characters that start at ``base``."""
     step = size - overlap
@@ -88,7 +118,8 @@ def fixed_chunks(text: Column, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVER
     """Overlapping windows of at most ``size`` characters, kept as they are."""
     step = size - overlap
     last = F.greatest(F.lit(0), F.ceil((F.length(text) - size) / F.lit(step)).cast("int"))
-    windows = F.transform(F.sequence(F.lit(0), last), lambda i: F.substring(text, i * step + 1, F.lit(size)))
+    starts = F.transform(F.sequence(F.lit(0), last), lambda i: i * step)
+    windows = with_reader(text, size, lambda read: F.transform(starts, lambda at: read(at, F.lit(size))))
     return F.when(F.length(text) > 0, windows)
 
 
@@ -160,7 +191,7 @@ def _fold_runs(text: Column, base: Column, separator: str, size: int, overlap: i
     """
     steps = F.floor(F.length(text) * 2 / F.lit(size - overlap)).cast("int") + 2
 
-    def step(acc: Column, _: Column) -> Column:
+    def step(read, acc: Column) -> Column:
         def advance(window: Column) -> Column:
             # window starts at the run and holds up to 2 * size characters
             head = F.substring(window, 1, size + 1)
@@ -183,11 +214,16 @@ def _fold_runs(text: Column, base: Column, separator: str, size: int, overlap: i
 
             return let(end, close)
 
-        going = let(F.substring(text, acc["at"] + 1, F.lit(2 * size)), advance)
+        going = let(read(acc["at"], F.lit(2 * size)), advance)
         return F.when(acc["at"] < 0, acc).otherwise(going)
 
     start = F.struct(F.array().cast(_NO_SPANS).alias("out"), F.lit(0).alias("at"))
-    return F.aggregate(F.sequence(F.lit(1), steps), start, step, lambda acc: acc["out"])
+
+    def fold(read) -> Column:
+        every = F.sequence(F.lit(1), steps)
+        return F.aggregate(every, start, lambda acc, _: step(read, acc), lambda acc: acc["out"])
+
+    return with_reader(text, 2 * size, fold)
 
 
 def _split_spans(text: Column, base: Column, separators: tuple[str, ...], size: int, overlap: int) -> Column:
@@ -209,4 +245,4 @@ def _split_spans(text: Column, base: Column, separators: tuple[str, ...], size:
 def recursive_chunks(text: Column, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP) -> Column:
     """Chunks that keep paragraph, then line, then word boundaries where they can."""
     spans = _split_spans(text, F.lit(0), SEPARATORS, size, overlap)
-    return F.when(F.length(text) > 0, _cut(text, spans))
+    return F.when(F.length(text) > 0, _cut(text, spans, size))

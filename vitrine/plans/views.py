@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from vitrine.operators.routing import Vocabulary
+from vitrine.session import materialise
 
 SIZES = ["S", "M", "L", "XL", "XXL", "XS", "one_size"]
 
@@ -203,6 +204,7 @@ def gold_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     wanted = _grams(passages, "question_id", inner=True)
     present = _grams(docs, "id", inner=False).join(wanted.select("gram").distinct(), "gram", "left_semi")
+    present = materialise(present, "passage-runs")
     frequency = present.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
     # an unmatched run proves that no document holds the passage; it sorts first
     ranked = wanted.join(frequency, "gram", "left").groupBy("question_id").agg(

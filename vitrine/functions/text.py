@@ -230,16 +230,12 @@ def _split_spans(text: Column, base: Column, separators: tuple[str, ...], size:
     """Chunk spans of ``text``, whose first character is number ``base`` of the document."""
     if not separators:
         return window_spans(F.length(text), base, size, overlap)
-    separator, finer = separators[0], separators[1:]
-    without = _split_spans(text, base, finer, size, overlap)
-    packed = F.when(text.contains(separator), _fold_pieces(text, base, separators, size, overlap))
-    if separator == " ":
-        short = ~text.rlike("[^ ]{%d}" % (size - 1))
-        runs = _fold_runs(text, base, separator, size, overlap)
-        packed = F.when(text.contains(separator) & short, runs).when(
-            text.contains(separator), _fold_pieces(text, base, separators, size, overlap)
-        )
-    return packed.otherwise(without)
+    # a text without the separator is one piece, which goes on to the next one if it is too long
+    folded = _fold_pieces(text, base, separators, size, overlap)
+    if separators[0] != " ":
+        return folded
+    short = ~text.rlike("[^ ]{%d}" % (size - 1))
+    return F.when(short, _fold_runs(text, base, " ", size, overlap)).otherwise(folded)
 
 
 def recursive_chunks(text: Column, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP) -> Column:

@@ -46,12 +46,12 @@ def chunk_recursive(spark, sf_dir):
     return _flat_chunks(corpus.document_chunks(documents(spark, sf_dir)))
 
 
-def fixed_corpus(spark, sf_dir):
-    return corpus.corpus(catalog(spark, sf_dir), documents(spark, sf_dir), fixed_chunks(F.col("text")))
+def shop_corpus(spark, sf_dir):
+    return corpus.corpus(catalog(spark, sf_dir), documents(spark, sf_dir))
 
 
 def corpus_union(spark, sf_dir):
-    return fixed_corpus(spark, sf_dir).select(
+    return shop_corpus(spark, sf_dir).select(
         "id", "source_type", "text", F.col("payload.sku").alias("sku"),
         F.col("payload.policy_id").alias("policy_id"),
         F.col("payload.chunk_index").cast("bigint").alias("chunk_index"),
@@ -87,15 +87,73 @@ def l2_normalize(spark, sf_dir):
     return unit.select("vec_id", F.col("pos").cast("bigint").alias("pos"), F.round("value", 6).alias("value"))
 
 
-CHUNK_SQL = """
+WINDOWS_SQL = """
 chunks AS (
   SELECT id || '_chunk_' || i AS id, substr(text, CAST(i * 448 + 1 AS BIGINT), 512) AS text, id AS policy_id, i AS chunk_index
   FROM (SELECT id, text, unnest(range(0, 1 + CAST(greatest(0, ceil((length(text) - 512) / 448.0)) AS BIGINT))) AS i
         FROM docs WHERE length(text) > 0))"""
 
+
+def _level_sql(level: int, separator: str) -> str:
+    """Pieces of the level's texts: runs of short ones to pack, long ones for the next level."""
+    here, after, size = f"long{level}", f"long{level + 1}", len(separator)
+    code = " || ".join(f"chr({ord(c)})" for c in separator)
+    return f"""
+parts{level} AS (
+  SELECT id, base, unnest(string_split(text, {code})) AS part,
+         generate_subscripts(string_split(text, {code}), 1) AS n FROM {here}),
+pieces{level} AS (
+  SELECT id, base, n, CASE WHEN n = 1 THEN part ELSE {code} || part END AS piece,
+         length(part) + CASE WHEN n = 1 THEN 0 ELSE {size} END AS len FROM parts{level}),
+placed{level} AS (
+  SELECT id, base, n, piece, len, sum(len) OVER (PARTITION BY id, base ORDER BY n) - len + base AS pos,
+         count(*) FILTER (WHERE len >= 512) OVER (PARTITION BY id, base ORDER BY n) AS grp
+  FROM pieces{level} WHERE len > 0),
+{after} AS (SELECT id, CAST(pos AS BIGINT) AS base, piece AS text FROM placed{level} WHERE len >= 512),
+runs{level} AS (
+  SELECT id, CAST(min(pos) AS BIGINT) AS base, string_agg(piece, '' ORDER BY n) AS text, {code} AS sep
+  FROM placed{level} WHERE len < 512 GROUP BY id, base, grp)"""
+
+
+_BLANK = "[\\s\\v\\x1c-\\x1f\\x85\\p{Z}]+"
+
+# Packs each run a chunk at a time: the chunk ends at the last separator within
+# 512 characters; the next one starts at the first separator of the tail.
+CHUNK_SQL = f"""
+long1 AS (SELECT id, CAST(0 AS BIGINT) AS base, text FROM docs WHERE length(text) > 0),
+{_level_sql(1, chr(10) * 2)}, {_level_sql(2, chr(10))}, {_level_sql(3, " ")},
+runs AS (SELECT * FROM runs1 UNION ALL SELECT * FROM runs2 UNION ALL SELECT * FROM runs3),
+packed(id, base, pos, size, next_at) AS (
+  SELECT id, base, CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST(0 AS BIGINT) FROM runs
+  UNION ALL
+  SELECT id, base, pos, size,
+         CASE WHEN pos + size < total THEN pos + size - room + instr(substr(win, size - room + 1), sep) - 1 END
+  FROM (SELECT *, least(64, 512 - CASE WHEN following > 0 THEN following ELSE length(win) - size END) AS room
+    FROM (SELECT *, instr(substr(win, size + 2), sep) AS following
+      FROM (SELECT *, CASE WHEN total - pos <= 512 THEN total - pos
+                      ELSE length(head) - instr(reverse(head), sep) + 1 - length(sep) END AS size
+        FROM (SELECT p.id, p.base, p.next_at AS pos, r.sep, length(r.text) AS total,
+                     substr(r.text, p.next_at + 1, 1024) AS win, substr(r.text, p.next_at + 1, 512 + length(r.sep)) AS head
+              FROM packed p JOIN runs r ON r.id = p.id AND r.base = p.base WHERE p.next_at IS NOT NULL))))),
+windows AS (
+  SELECT id, base + i * 448 AS start, substr(text, CAST(i * 448 + 1 AS BIGINT), 512) AS text
+  FROM (SELECT *, unnest(range(0, 1 + CAST(greatest(0, ceil((length(text) - 512) / 448.0)) AS BIGINT))) AS i FROM long4)),
+cut AS (
+  SELECT p.id, p.base + p.pos AS start, substr(r.text, p.pos + 1, p.size) AS text
+  FROM packed p JOIN runs r ON r.id = p.id AND r.base = p.base WHERE p.size > 0
+  UNION ALL SELECT id, start, text FROM windows),
+stripped AS (
+  SELECT id, start, regexp_replace(regexp_replace(text, '^{_BLANK}', ''), '{_BLANK}$', '') AS text FROM cut),
+chunks AS (
+  SELECT policy_id || '_chunk_' || chunk_index AS id, text, policy_id, chunk_index
+  FROM (SELECT text, id AS policy_id, row_number() OVER (PARTITION BY id ORDER BY start) - 1 AS chunk_index
+        FROM stripped WHERE text <> ''))"""
+
+# needs WITH RECURSIVE
 CORPUS_SQL = f"""{CATALOG_SQL}, {DOCUMENTS_SQL}, {CHUNK_SQL},
 corpus AS (
-  SELECT sku AS id, 'product' AS source_type, {RENDER_SQL} AS text, sku, NULL AS policy_id, NULL AS chunk_index FROM catalog
+  SELECT sku AS id, 'product' AS source_type, {RENDER_SQL} AS text, sku,
+         CAST(NULL AS VARCHAR) AS policy_id, CAST(NULL AS BIGINT) AS chunk_index FROM catalog
   UNION ALL SELECT id, 'policy', text, NULL, policy_id, chunk_index FROM chunks)"""
 
 QUERIES = {
@@ -119,8 +177,9 @@ ORACLES = {
     "document_excerpt": f"WITH {DOCUMENTS_SQL} SELECT id, substr(text, 1, 300) || '...' AS excerpt FROM docs",
     "gold_scan": f"""WITH {GOLD_SQL} SELECT id, question, expected_answer, source_type,
         array_to_string(required_facts, '|') AS required_facts, difficulty FROM gold""",
-    "chunk_fixed": f"WITH {DOCUMENTS_SQL}, {CHUNK_SQL} SELECT id, text, policy_id, chunk_index FROM chunks",
-    "corpus_union": f"WITH {CORPUS_SQL} SELECT id, source_type, text, sku, policy_id, chunk_index FROM corpus",
+    "chunk_fixed": f"WITH {DOCUMENTS_SQL}, {WINDOWS_SQL} SELECT id, text, policy_id, chunk_index FROM chunks",
+    "chunk_recursive": f"WITH RECURSIVE {DOCUMENTS_SQL}, {CHUNK_SQL} SELECT id, text, policy_id, chunk_index FROM chunks",
+    "corpus_union": f"WITH RECURSIVE {CORPUS_SQL} SELECT id, source_type, text, sku, policy_id, chunk_index FROM corpus",
     "upsert_latest": """WITH points AS (
         SELECT 'doc_' || doc_id AS id, CAST(0 AS BIGINT) AS version, lang AS kind, text AS body FROM documents
         UNION ALL SELECT 'doc_' || doc_id, 1, 'labelled', 'quality ' || quality FROM labels

@@ -64,7 +64,7 @@ QUERIES = {
 }
 
 ORACLES = {
-    "eval_run": f"""WITH {CORPUS_SQL}, {GOLD_ASKED_SQL}, {bm25_sql('corpus')}, {TOOLS_SQL}, {CONTEXT_SQL}, prompted AS (
+    "eval_run": f"""WITH RECURSIVE {CORPUS_SQL}, {GOLD_ASKED_SQL}, {bm25_sql('corpus')}, {TOOLS_SQL}, {CONTEXT_SQL}, prompted AS (
         SELECT t.*, coalesce(sources, '') AS sources, {prompt_sql('context_text', 'tool_info', 'query')} AS prompt
         FROM tooled t LEFT JOIN contexts USING (question_id)),
         answered AS (SELECT *, {_cascade('lower(prompt)', A.RETAIL_RULES)} AS answer FROM prompted)
@@ -73,7 +73,7 @@ ORACLES = {
         SELECT *, '' AS sources, {prompt_sql("''", 'tool_info', 'query')} AS prompt FROM tooled),
         answered AS (SELECT *, {_cascade('lower(prompt)', A.RETAIL_RULES)} AS answer FROM prompted)
         SELECT {_FIELDS} FROM answered""",
-    "context_recall": f"""WITH {CORPUS_SQL}, {GOLD_ASKED_SQL}, {bm25_sql('corpus')}, {GOLD_SOURCES_SQL},
+    "context_recall": f"""WITH RECURSIVE {CORPUS_SQL}, {GOLD_ASKED_SQL}, {bm25_sql('corpus')}, {GOLD_SOURCES_SQL},
         found AS (SELECT DISTINCT question_id, coalesce(policy_id, sku) AS source_id, 1 AS hit FROM hits JOIN corpus USING (id))
         SELECT question_id, count(source_id) AS n_expected, count(hit) AS n_found,
                CASE WHEN count(source_id) > 0 THEN round(count(hit) / count(source_id), 6) END AS recall

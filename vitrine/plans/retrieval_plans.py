@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from vitrine.operators import dense, fusion, lexical
-from vitrine.plans.corpus_plans import CORPUS_SQL, fixed_corpus
+from vitrine.plans.corpus_plans import CORPUS_SQL, shop_corpus
 from vitrine.plans.views import DOCUMENTS_SQL, QUESTIONS_SQL, documents, questions, table
 from vitrine.session import materialise
 
@@ -60,7 +60,7 @@ def chunk_index(spark, sf_dir):
     """The stored chunk corpus and its BM25 index, built on first use."""
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _corpora:
-        corpus = materialise(fixed_corpus(spark, sf_dir), "corpus")
+        corpus = materialise(shop_corpus(spark, sf_dir), "corpus")
         _corpora[key] = (corpus, lexical.build_index(corpus))
     return _corpora[key]
 

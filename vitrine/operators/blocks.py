@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 DECIMALS = 6
 # cells of the score matrix computed at a time in one task (8 bytes each)
 _CELLS = 1 << 21
+_STRETCH = 64
 
 
 @dataclass(frozen=True)
@@ -49,23 +50,25 @@ class Grid:
         return cls(blocks, max(1, cells // blocks))
 
 
-def top_cells(scores: np.ndarray, k: int, valid: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Row and column numbers of the best ``k`` valid cells of each row, best first.
+def top_cells(scores: np.ndarray, k: int, positive: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Row and column numbers of the best ``k`` cells of each row, best first.
 
     Scores are compared at six decimals; equal ones are taken in column order.
+    With ``positive`` only cells above zero count.
     """
-    width = scores.shape[1]
-    rank = np.rint(scores * 10.0**DECIMALS).astype(np.int64) * width + np.arange(width - 1, -1, -1)
-    if valid is not None:
-        rank[~valid] = np.iinfo(np.int64).min
-    k = min(k, width)
-    columns = np.argpartition(rank, width - k, axis=1)[:, width - k :]
-    best = np.take_along_axis(rank, columns, axis=1)
-    order = np.argsort(-best, axis=1)
-    columns = np.take_along_axis(columns, order, axis=1)
-    rows = np.repeat(np.arange(scores.shape[0]), k).reshape(-1, k)
-    keep = np.ones_like(columns, dtype=bool) if valid is None else valid[rows, columns]
-    return rows[keep], columns[keep]
+    # the k-th largest of the maxima of k or more stretches is a floor for the k-th largest cell
+    maxima = np.maximum.reduceat(scores, np.arange(0, scores.shape[1], _STRETCH), axis=1)
+    floor = np.full(len(scores), -np.inf)
+    if maxima.shape[1] >= k:
+        floor = np.partition(maxima, -k, axis=1)[:, -k] - 2 * 10.0**-DECIMALS
+    if positive:
+        floor = np.maximum(floor, np.nextafter(0, 1))
+    row, column = np.nonzero(scores >= floor[:, None])
+    rounded = np.rint(scores[row, column] * 10.0**DECIMALS)
+    order = np.lexsort((column, -rounded, row))
+    row, column = row[order], column[order]
+    place = np.arange(len(row)) - np.searchsorted(row, row)
+    return row[place < k], column[place < k]
 
 
 def row_slices(n_rows: int, width: int) -> Iterator[slice]:

@@ -52,16 +52,45 @@ def tokens(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"\s+"), lambda word: word != "")
 
 
-def stripped(text: Column) -> Column:
-    """Without white space of any kind at both ends."""
-    return F.regexp_replace(text, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")
-
-
 def let(value: Column, body) -> Column:
     """``body`` applied to ``value``, which is evaluated once however often it is used."""
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def term_counts(words: Column) -> Column:
+    """``struct<terms, tfs>``: the distinct words in order and how often each occurs.
+
+    Equal words are neighbours in the sorted list, so the counts are the
+    distances between the places where a new word starts.  One pass within the
+    row; neither an explode nor a shuffle.
+    """
+
+    def count(ordered: Column) -> Column:
+        new = F.filter(
+            F.sequence(F.lit(1), F.size(ordered)),
+            lambda i: (i == 1) | (F.element_at(ordered, i) != F.element_at(ordered, i - 1)),
+        )
+        return let(F.when(F.size(ordered) > 0, new).otherwise(F.array().cast("array<int>")), between(ordered))
+
+    def between(ordered: Column):
+        def pair(starts: Column) -> Column:
+            ends = F.concat(F.slice(starts, 2, F.greatest(F.size(starts), F.lit(1))), F.array(F.size(ordered) + 1))
+            tfs = F.when(F.size(starts) > 0, F.zip_with(ends, starts, lambda e, s: e - s))
+            return F.struct(
+                F.transform(starts, lambda i: F.element_at(ordered, i)).alias("terms"),
+                F.coalesce(tfs, F.array().cast("array<int>")).alias("tfs"),
+            )
+
+        return pair
+
+    return let(F.sort_array(words), count)
+
+
+def stripped(text: Column) -> Column:
+    """Without white space of any kind at both ends."""
+    return F.regexp_replace(text, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")
+
+
 # a long text is cut into stretches of this many characters first
 _STRETCH = 64 * (CHUNK_SIZE - CHUNK_OVERLAP)
 

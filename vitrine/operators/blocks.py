@@ -79,6 +79,8 @@ def row_slices(n_rows: int, width: int) -> Iterator[slice]:
 
 def _runs(values: np.ndarray) -> Iterator[tuple[int, int]]:
     """Bounds of the runs of equal neighbours."""
+    if len(values) == 0:
+        return
     edges = np.flatnonzero(np.diff(values)) + 1
     bounds = np.concatenate(([0], edges, [len(values)]))
     yield from zip(bounds[:-1].tolist(), bounds[1:].tolist())
@@ -89,15 +91,15 @@ def score_grid(
     queries: DataFrame,
     grid: Grid,
     load: Callable[[pa.Table], object],
-    score: Callable[[object, pa.Table], pa.RecordBatch | None],
+    score: Callable[[object, pa.Table], pa.RecordBatch],
     entry_key: str,
     query_key: str,
 ) -> DataFrame:
-    """Run ``score(load(entries of a block), queries)`` in every cell of the grid.
+    """Run ``score(load(entries of a block), some queries)`` in every cell of the grid.
 
-    Columns missing from one of the tables are null in the other's rows.  All
-    rows with one ``query_key`` reach ``score`` together.  The result has the
-    columns ``query_key``, ``entry_key`` and ``score``.
+    An entry and a query are one row each.  The tables share their columns but
+    for the two keys.  The result has the columns ``query_key``, ``entry_key``
+    and ``score``.
     """
     block = F.pmod(F.xxhash64(entry_key), F.lit(grid.blocks)).cast("int") * grid.slices
     slice_ = F.pmod(F.xxhash64(query_key), F.lit(grid.slices)).cast("int")
@@ -112,54 +114,27 @@ def score_grid(
             allowMissingColumns=True,
         )
         .repartitionById(grid.blocks * grid.slices, F.col("cell"))
-        .sortWithinPartitions("cell", "is_query", query_key)
+        .sortWithinPartitions("cell", "is_query")
     )
     types = {f.name: f.dataType.simpleString() for f in placed.schema.fields}
     schema = f"{query_key} {types[query_key]}, {entry_key} {types[entry_key]}, score double"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pending: list[pa.RecordBatch] = []
-        cell, state, loaded = None, None, False
-
-        def flush(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            if parts and state is not None:
-                result = score(state, pa.Table.from_batches(parts))
-                if result is not None and result.num_rows:
-                    yield result
-
+        cell, entries_of_cell, state = None, [], None
         for batch in batches:
-            if batch.num_rows == 0:
-                continue
-            cells = batch.column("cell").to_numpy()
-            kinds = batch.column("is_query").to_numpy()
-            for begin, end in _runs(cells.astype(np.int64) * 2 + kinds):
+            cell_of = batch.column("cell").to_numpy()
+            is_query = batch.column("is_query").to_numpy()
+            for begin, end in _runs(cell_of.astype(np.int64) * 2 + is_query):
                 part = batch.slice(begin, end - begin)
-                if cells[begin] != cell:
-                    if loaded:
-                        yield from flush(pending)
-                    cell, state, loaded, pending = cells[begin], None, False, []
-                if kinds[begin] == 0:
-                    pending.append(part)
+                if cell_of[begin] != cell:
+                    cell, entries_of_cell, state = cell_of[begin], [], None
+                if not is_query[begin]:
+                    entries_of_cell.append(part)
                     continue
-                if not loaded:
-                    state = load(pa.Table.from_batches(pending)) if pending else None
-                    loaded, pending = True, []
-                # rows of the last key may continue in the next batch
-                keys = part.column(query_key)
-                last = keys[len(keys) - 1]
-                cut = len(keys) - 1
-                while cut > 0 and keys[cut - 1] == last:
-                    cut -= 1
-                if cut > 0:
-                    yield from flush(pending + [part.slice(0, cut)])
-                    pending = [part.slice(cut)]
-                elif pending and pending[-1].column(query_key)[0] != last:
-                    yield from flush(pending)
-                    pending = [part]
-                else:
-                    pending.append(part)
-        if loaded:
-            yield from flush(pending)
+                if entries_of_cell:
+                    state, entries_of_cell = load(pa.Table.from_batches(entries_of_cell)), []
+                if state is not None:
+                    yield score(state, pa.Table.from_batches([part]))
 
     return placed.mapInArrow(run, schema)
 

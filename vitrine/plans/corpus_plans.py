@@ -8,7 +8,7 @@ from vitrine.functions import vector
 from vitrine.functions.text import fixed_chunks
 from vitrine.operators import corpus
 from vitrine.plans.catalog_plans import RENDER_SQL
-from vitrine.plans.views import CATALOG_SQL, DOCUMENTS_SQL, GOLD_SQL, catalog, documents, gold, table
+from vitrine.plans.views import CATALOG_SQL, DOCUMENTS_SQL, GOLD_SQL, catalog, documents, gold, spread_documents, table
 from vitrine.sources.points import dimension_check, upsert
 
 DIM = 64
@@ -39,15 +39,15 @@ def _flat_chunks(chunks):
 
 
 def chunk_fixed(spark, sf_dir):
-    return _flat_chunks(corpus.document_chunks(documents(spark, sf_dir), fixed_chunks(F.col("text"))))
+    return _flat_chunks(corpus.document_chunks(spread_documents(spark, sf_dir), fixed_chunks(F.col("text"))))
 
 
 def chunk_recursive(spark, sf_dir):
-    return _flat_chunks(corpus.document_chunks(documents(spark, sf_dir)))
+    return _flat_chunks(corpus.document_chunks(spread_documents(spark, sf_dir)))
 
 
 def shop_corpus(spark, sf_dir):
-    return corpus.corpus(catalog(spark, sf_dir), documents(spark, sf_dir))
+    return corpus.corpus(catalog(spark, sf_dir), spread_documents(spark, sf_dir))
 
 
 def corpus_union(spark, sf_dir):

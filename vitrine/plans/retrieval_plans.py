@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from vitrine.operators import dense, fusion, lexical
 from vitrine.plans.corpus_plans import CORPUS_SQL, shop_corpus
-from vitrine.plans.views import DOCUMENTS_SQL, QUESTIONS_SQL, documents, questions, table
+from vitrine.plans.views import DOCUMENTS_SQL, QUESTIONS_SQL, questions, spread_documents, table
 from vitrine.session import materialise
 
 K = 3
@@ -49,7 +49,7 @@ def document_index(spark, sf_dir, scheme: str) -> lexical.LexicalIndex:
     """The text index of the documents: built on first use, then shared by all searches."""
     key = (spark.sparkContext.applicationId, sf_dir, scheme)
     if key not in _indexes:
-        _indexes[key] = lexical.build_index(documents(spark, sf_dir), scheme)
+        _indexes[key] = lexical.build_index(spread_documents(spark, sf_dir), scheme)
     return _indexes[key]
 
 
@@ -77,7 +77,7 @@ def hybrid_rrf(spark, sf_dir):
 
 
 def tfidf_vectors(spark, sf_dir):
-    return lexical.tfidf_vectors(documents(spark, sf_dir)).withColumn("w", F.round("w", 6))
+    return lexical.tfidf_vectors(spread_documents(spark, sf_dir)).withColumn("w", F.round("w", 6))
 
 
 VECTOR_SQL = """

@@ -124,8 +124,12 @@ FLAT_SQL = "sku, name, category, price_eur, array_to_string(sizes, ',') AS sizes
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("id"), "text")
-    return spread(docs, "id")
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("id"), "text")
+
+
+def spread_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For chunking and indexing, where the work per text is heavy."""
+    return spread(documents(spark, sf_dir), "id")
 
 
 DOCUMENTS_SQL = "docs AS (SELECT CAST(doc_id AS VARCHAR) AS id, text FROM documents)"
@@ -201,7 +205,7 @@ def gold_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     passages = table(spark, sf_dir, "benchmark").select(
         F.concat(F.lit("g"), F.col("item_id").cast("string")).alias("question_id"), "text"
     )
-    docs = documents(spark, sf_dir)
+    docs = spread_documents(spark, sf_dir)
     wanted = _grams(passages, "question_id", inner=True)
     present = _grams(docs, "id", inner=False).join(wanted.select("gram").distinct(), "gram", "left_semi")
     present = materialise(present, "passage-runs")

@@ -119,7 +119,7 @@ def test_more_hits_wanted_than_texts_and_empty_corpus(spark):
 
 def test_tfidf_vectors_have_unit_length(spark, library):
     _, corpus = frames(spark, *library)
-    lengths = lexical.tfidf_vectors(corpus).groupBy("id").agg(F.sum(F.col("w") * F.col("w")).alias("s"))
+    lengths = lexical.term_vectors(lexical.build_index(corpus, "tfidf")).groupBy("id").agg(F.sum(F.col("w") * F.col("w")).alias("s"))
     assert all(abs(r.s - 1) < 1e-9 for r in lengths.collect())
 
 

@@ -42,15 +42,18 @@ def hits_with_text(spark, sf_dir):
     return dense.with_text(vector_topk(spark, sf_dir), corpus)
 
 
+_counts: dict[tuple[str, str], lexical.TermCounts] = {}
 _indexes: dict[tuple[str, str, str], lexical.LexicalIndex] = {}
 
 
 def document_index(spark, sf_dir, scheme: str) -> lexical.LexicalIndex:
     """The text index of the documents: built on first use, then shared by all searches."""
-    key = (spark.sparkContext.applicationId, sf_dir, scheme)
-    if key not in _indexes:
-        _indexes[key] = lexical.build_index(spread_documents(spark, sf_dir), scheme)
-    return _indexes[key]
+    docs, key = spread_documents(spark, sf_dir), (spark.sparkContext.applicationId, sf_dir)
+    if key not in _counts:
+        _counts[key] = lexical.count_terms(docs)
+    if (*key, scheme) not in _indexes:
+        _indexes[(*key, scheme)] = lexical.build_index(docs, scheme, counts=_counts[key])
+    return _indexes[(*key, scheme)]
 
 
 _corpora: dict[tuple[str, str], tuple] = {}
@@ -77,7 +80,8 @@ def hybrid_rrf(spark, sf_dir):
 
 
 def tfidf_vectors(spark, sf_dir):
-    return lexical.tfidf_vectors(spread_documents(spark, sf_dir)).withColumn("w", F.round("w", 6))
+    vectors = lexical.term_vectors(document_index(spark, sf_dir, "tfidf"))
+    return vectors.withColumn("w", F.round("w", 6))
 
 
 VECTOR_SQL = """

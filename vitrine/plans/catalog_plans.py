@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from vitrine.functions import predicates as P
-from vitrine.functions.text import product_text
 from vitrine.operators import catalog as C
 from vitrine.operators import corpus
 from vitrine.plans.views import CATALOG_SQL, FLAT_SQL, SIZES, catalog, flat_catalog, table

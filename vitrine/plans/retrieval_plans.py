@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from vitrine.operators import dense, fusion, lexical
 from vitrine.plans.corpus_plans import CORPUS_SQL, shop_corpus
 from vitrine.plans.views import DOCUMENTS_SQL, QUESTIONS_SQL, questions, spread_documents, table
-from vitrine.session import materialise
+from vitrine.session import materialise, still_stored
 
 K = 3
 FUSED_DEPTH = 10
@@ -47,11 +47,16 @@ _indexes: dict[tuple[str, str, str], lexical.LexicalIndex] = {}
 
 
 def document_index(spark, sf_dir, scheme: str) -> lexical.LexicalIndex:
-    """The text index of the documents: built on first use, then shared by all searches."""
+    """The text index of the documents: built on first use, then shared by all searches.
+
+    The scratch folder may be emptied between queries; then it is built again.
+    """
     docs, key = spread_documents(spark, sf_dir), (spark.sparkContext.applicationId, sf_dir)
-    if key not in _counts:
+    if key not in _counts or not still_stored(_counts[key].texts) or not still_stored(_counts[key].frequencies):
         _counts[key] = lexical.count_terms(docs)
-    if (*key, scheme) not in _indexes:
+        for scheme_key in [k for k in _indexes if k[:2] == key]:
+            del _indexes[scheme_key]
+    if (*key, scheme) not in _indexes or not still_stored(_indexes[(*key, scheme)].weights):
         _indexes[(*key, scheme)] = lexical.build_index(docs, scheme, counts=_counts[key])
     return _indexes[(*key, scheme)]
 
@@ -62,7 +67,9 @@ _corpora: dict[tuple[str, str], tuple] = {}
 def chunk_index(spark, sf_dir):
     """The stored chunk corpus and its BM25 index, built on first use."""
     key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _corpora:
+    known = _corpora.get(key)
+    stored = known and (known[0], known[1].weights, known[1].frequencies)
+    if not stored or not all(still_stored(part) for part in stored):
         corpus = materialise(shop_corpus(spark, sf_dir), "corpus")
         _corpora[key] = (corpus, lexical.build_index(corpus))
     return _corpora[key]

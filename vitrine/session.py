@@ -63,3 +63,12 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def still_stored(df: DataFrame) -> bool:
+    """Whether the files of a materialised table are still there."""
+    spark, files = df.sparkSession, df.inputFiles()
+    if not files:
+        return False
+    path = spark._jvm.org.apache.hadoop.fs.Path(files[0])
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)

@@ -6,8 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from vitrine.llm import decontaminate
+import public_tokenizers
+
+from vitrine.llm import bpe, decontaminate, token_files
 from vitrine.llm.common import table
+from vitrine.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -18,6 +21,32 @@ def register(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[Spark
     return query
 
 
+@register
+def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The token store of all documents, read back."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    path = scratch_path(spark, "tokens")
+    tokens = token_files.tokenize(docs, public_tokenizers.path("word_bpe_49k.json"), parts)
+    token_files.write(tokens, path)
+    sums = token_files.checksums(token_files.read_tokens(spark, path))
+    return token_files.with_start(sums, spark.read.parquet(path)).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
+@register
+def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every document and the bytes that they decode to."""
+    words = bpe.vocabulary(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    ids = bpe.encode(docs, words).drop("text")
+    return bpe.decode(ids, words).select(
+        "doc_id",
+        (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 @register
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark words in every document."""

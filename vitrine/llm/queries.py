@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 import public_tokenizers
 
-from vitrine.llm import bpe, decontaminate, token_files
+from vitrine.llm import bpe, decontaminate, langid, licenses, token_files
 from vitrine.llm.common import table
 from vitrine.session import scratch_path
 
@@ -84,3 +84,28 @@ items_hit AS (
 SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
   sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM doc_words LEFT JOIN words_hit USING (doc_id) LEFT JOIN items_hit USING (doc_id)"""
+
+
+def held_out() -> Column:
+    """Rows that must not teach the classifier; a null id is none of them."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
+
+
+@register
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learned from those that are not held out."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    model = langid.fit(docs, ~held_out())
+    return langid.predict(docs.select("doc_id", "text"), model).select(
+        "doc_id", held_out().alias("held_out"), "lang_pred", "score"
+    )
+
+
+@register
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License phrases in every document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return licenses.scan(docs).drop("text")
+
+
+ORACLES["op9_license_scan"] = licenses.oracle()

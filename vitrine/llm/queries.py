@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 import public_tokenizers
 
-from vitrine.llm import bpe, decontaminate, langid, licenses, token_files
+from vitrine.llm import bpe, decontaminate, langid, licenses, token_files, winnowing
 from vitrine.llm.common import table
 from vitrine.session import scratch_path
 
@@ -101,6 +101,12 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@register
+def op8_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and of its edited text."""
+    return winnowing.compare_edits(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 @register
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """License phrases in every document."""

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 import public_tokenizers
 
-from vitrine.llm import bpe, decontaminate, langid, licenses, token_files, winnowing
+from vitrine.llm import bpe, decontaminate, langid, licenses, secrets, token_files, winnowing
 from vitrine.llm.common import table
 from vitrine.session import scratch_path
 
@@ -33,6 +33,26 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.with_start(sums, spark.read.parquet(path)).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+@register
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = secrets.scan(docs, secrets.fit(docs))
+
+    def of(*kinds: str) -> Column:
+        return F.filter("findings", lambda f: f["kind"].isin(*kinds))
+
+    def written(findings: Column) -> Column:
+        return F.array_join(F.transform(findings, lambda f: F.concat_ws(":", f["kind"], f["start"], f["end"])), ",")
+
+    return found.select(
+        "doc_id",
+        *[F.size(of(kind)).cast("long").alias(f"n_{kind}") for kind in ("assign", "access", "hex")],
+        F.sha2(written(of("assign", "access", "hex")), 256).alias("base_sha256"),
+        written(F.col("findings")).alias("spans"),
+    )
+
+
 @register
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every document and the bytes that they decode to."""

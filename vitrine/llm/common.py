@@ -6,12 +6,11 @@ a text yields the hashes of all of its words.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
-from pyspark.sql import types as T
+from pyspark.sql import DataFrame, SparkSession
 
 MASK = (1 << 64) - 1
 #: A text is hashed in stretches of about so many bytes, cut between words.
@@ -22,42 +21,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def text_or_empty(column: str = "text") -> Column:
-    return F.coalesce(F.col(column), F.lit(""))
-
-
-def arrow_map(df: DataFrame, work: Callable[[pa.RecordBatch], dict[str, object]], schema: T.StructType) -> DataFrame:
-    """``mapInArrow`` for functions that turn one batch into columns of the same number of rows."""
-    arrow = _arrow_schema(schema)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                columns = work(batch)
-                yield pa.RecordBatch.from_arrays(
-                    [_as_array(columns[f.name], f.type) for f in arrow], schema=arrow
-                )
-
-    return df.mapInArrow(run, schema)
-
-
-def _as_array(values, kind: pa.DataType) -> pa.Array:
-    if isinstance(values, pa.Array):
-        return values if values.type == kind else values.cast(kind)
-    return pa.array(values, type=kind)
-
-
-def _arrow_schema(schema: T.StructType) -> pa.Schema:
-    from pyspark.sql.pandas.types import to_arrow_schema
-
-    return to_arrow_schema(schema)
-
-
-def list_array(lists: list[np.ndarray], kind: pa.DataType) -> pa.Array:
-    """An Arrow list column from one NumPy array per row."""
-    ends = np.cumsum([0, *map(len, lists)], dtype=np.int64)
-    flat = np.concatenate(lists) if lists else np.empty(0)
-    return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat, type=kind))
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """The same rows in slices that keep a worker's Python objects few; empty batches are left out."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
 
 
 def utf8_rows(column: pa.Array) -> Iterator[np.ndarray]:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql import types as T
 
-from vitrine.llm.common import STRETCH, utf8_rows
+from vitrine.llm.common import STRETCH, slices, utf8_rows
 
 BINS = 1 << 12
 PER_LANGUAGE = 400
@@ -180,7 +180,7 @@ def fit(docs: DataFrame, allowed: Column, per_language: int = PER_LANGUAGE) -> M
     sample = learning_rows(docs, allowed, per_language).select("doc_id", "lang", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             texts = list(utf8_rows(batch.column("text")))
             keep = [i for i, t in enumerate(texts) if has_letter(t)]
             yield pa.RecordBatch.from_arrays(
@@ -210,7 +210,7 @@ def predict(docs: DataFrame, model: Model | None, text: str = "text") -> DataFra
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
-        for batch in batches:
+        for batch in slices(batches):
             languages, scores = [UNDETERMINED] * batch.num_rows, np.zeros(batch.num_rows)
             rows, found = [], []
             for i, raw in enumerate(utf8_rows(batch.column(text))):

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 import public_tokenizers
 
-from vitrine.llm import bpe, decontaminate, langid, licenses, secrets, token_files, winnowing
+from vitrine.llm import bpe, decontaminate, html_text, langid, licenses, secrets, token_files, winnowing
 from vitrine.llm.common import table
 from vitrine.session import scratch_path
 
@@ -21,6 +21,12 @@ def register(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[Spark
     return query
 
 
+@register
+def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return html_text.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
 @register
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The token store of all documents, read back."""

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 import public_tokenizers
 
-from vitrine.llm import bpe, decontaminate, html_text, langid, licenses, secrets, token_files, winnowing
+from vitrine.llm import bpe, decontaminate, html_text, langid, licenses, near_dedup, secrets, token_files, winnowing
 from vitrine.llm.common import table
 from vitrine.session import scratch_path
 
@@ -27,6 +27,12 @@ def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
 
 
+@register
+def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate class of every document."""
+    return near_dedup.classes(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 @register
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The token store of all documents, read back."""

@@ -34,7 +34,7 @@ from vitrine.session import materialise
 
 SHINGLE = 5
 SIMILARITY = 0.8
-SKETCHES = 32
+SKETCHES = 48
 PAIRED = 16
 DEPTH = 3
 _SEEDS = mix(np.arange(1, 2 * SKETCHES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
@@ -61,7 +61,7 @@ def labelled_shingles(words: np.ndarray, size: int = SHINGLE) -> np.ndarray:
     number = np.empty(len(grams), np.uint64)
     number[order] = np.arange(len(grams)) - first
     with np.errstate(over="ignore"):
-        return mix(grams + number * _ORDER)
+        return np.where(number > 0, mix(grams + number * _ORDER), grams)
 
 
 def order_sketches(words: np.ndarray, sketches: int = SKETCHES) -> np.ndarray:

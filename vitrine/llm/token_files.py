@@ -17,8 +17,10 @@ stored too, except clashes with the store's own names, which raise.
 
 from __future__ import annotations
 
+import json
 import os
 import re
+import string
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,8 +28,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from pyspark.sql import types as T
 
+from vitrine.llm.common import slices
+
 END_ID = 2
-MEMO = 600_000
+#: Chunks, and as many words, in each of the two generations that a worker remembers.
+MEMO = 250_000
 FIELDS = T.StructType(
     [
         T.StructField("part", T.IntegerType(), False),
@@ -38,15 +43,36 @@ FIELDS = T.StructType(
 )
 # Python splits at these four, the tokenizer's white space does not hold them
 _ODD_SPACE = re.compile("[\x1c-\x1f]")
-_ENDING = re.compile(r"[.,;:!?]+\Z")
-_PLAIN_BEFORE = re.compile(r"[0-9A-Za-z]\Z")
+_ENDING = string.punctuation
+
+
+class _Generations:
+    """A memo of two generations: when the young one is full it becomes the old one, from which entries return on use."""
+
+    def __init__(self):
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def unknown(self, keys: set[str]) -> set[str]:
+        """The keys of neither generation; all others are in the young one afterwards."""
+        new = keys.difference(self.young)
+        if len(self.young) + len(new) > MEMO:
+            self.old, self.young = self.young, {}
+            new = keys
+        if self.old:
+            back = [key for key in new if key in self.old]
+            if back:
+                self.young.update(zip(back, map(self.old.__getitem__, back)))
+                new = new.difference(back)
+        return set(new)
 
 
 class ChunkEncoder:
     """Encodes texts chunk by chunk; equal chunks are encoded once while the memo holds them.
 
     The tokenizer drops white space and its pattern never matches across it, so the ids of
-    a text are those of its chunks in order.  ``split_chunks`` is for tokenizers of that
+    a text are those of its chunks in order; ASCII letters are lower-cased before, as the tokenizer
+    does.  ``split_chunks`` is for tokenizers of that
     kind only; others encode each text whole.
     """
 
@@ -57,56 +83,51 @@ class ChunkEncoder:
         self.tokenizer = Tokenizer.from_str(content)
         self.tokenizer.encode_special_tokens = True  # their names in a text are text
         self.split_chunks = split_chunks
-        self.memo: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
-        self.divider = Tokenizer.from_str(content)
-        special = [t.content for t in self.divider.get_added_tokens_decoder().values() if t.special]
-        self.mark = special[0] if special else None
-        self.mark_id = self.divider.token_to_id(self.mark) if special else -1
-        self.specials = [s[:2] for s in special]
+        self.memo, self.words = _Generations(), _Generations()
+        suffix = json.loads(content)["model"].get("end_of_word_suffix") or ""
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends_word = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        self.ends_word[[i for token, i in vocabulary.items() if suffix and token.endswith(suffix)]] = True
 
     def packed(self, text: str) -> bytes:
         if not self.split_chunks or _ODD_SPACE.search(text):
             return self._encode(text)
-        chunks, memo = text.split(), self.memo
-        new = [c for c in set(chunks) if c not in memo]
+        chunks = (text.lower() if text.isascii() else text).split()
+        new = self.memo.unknown(set(chunks))
         if new:
-            if len(memo) + len(new) > MEMO:
-                memo.clear()
-                new = list(set(chunks))
             self._learn(new)
-        return b"".join(map(memo.__getitem__, chunks))
+        return b"".join(map(self.memo.young.__getitem__, chunks))
 
     def _encode(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _learn(self, chunks: list[str]) -> None:
+    def _learn(self, chunks: set[str]) -> None:
         """A chunk that ends in plain punctuation after a letter or digit is its word and its ending."""
         halves: dict[str, tuple[str, str]] = {}
         for chunk in chunks:
-            found = _ENDING.search(chunk)
-            word = chunk[: found.start()] if found else ""
-            halves[chunk] = (word, found[0]) if word and _PLAIN_BEFORE.search(word) else (chunk, "")
-        known = self.words
-        new = list({x for pair in halves.values() for x in pair if x and x not in known})
-        if len(known) + len(new) > MEMO // 2:
-            known.clear()
-            new = list({x for pair in halves.values() for x in pair if x})
-        plain = [x for x in new if not any(s in x for s in self.specials)] if self.mark else []
-        for at in range(0, len(plain), 4096):  # one call for many, told apart by the special token between them
+            word = chunk.rstrip(_ENDING)
+            split = len(word) < len(chunk) and word[-1:].isalnum() and word[-1].isascii()
+            halves[chunk] = (word, chunk[len(word) :]) if split else (chunk, "")
+        new = self.words.unknown({x for pair in halves.values() for x in pair})
+        known = self.words.young
+        new.discard("")
+        known[""] = b""
+        # words of letters alone are one token run each, which ends where a token ends a word
+        plain = [x for x in new if x.isalpha()]
+        for at in range(0, len(plain), 4096):
             some = plain[at : at + 4096]
-            ids = np.array(
-                self.divider.encode(f" {self.mark} ".join(some), add_special_tokens=False).ids, "<u4"
-            )
-            ends = np.flatnonzero(ids == self.mark_id).tolist()
-            if len(ends) == len(some) - 1:
-                for word, a, b in zip(some, [0, *[e + 1 for e in ends]], [*ends, len(ids)]):
-                    known[word] = ids[a:b].tobytes()
-        for word in new:
-            if word not in known:
-                known[word] = self._encode(word)
+            ids = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, "<u4")
+            ends = (np.flatnonzero(self.ends_word[ids]) + 1).tolist()
+            if len(ends) == len(some) and ends[-1] == len(ids):
+                packed, first = ids.tobytes(), 0
+                for word, end in zip(some, ends):
+                    known[word] = packed[4 * first : 4 * end]
+                    first = end
+        for word in new.difference(known):
+            known[word] = self._encode(word)
+        memo = self.memo.young
         for chunk, (word, ending) in halves.items():
-            self.memo[chunk] = known[word] + known[ending] if ending else known[word]
+            memo[chunk] = known[word] + known[ending]
 
 
 _encoders: dict[tuple[int, bool], ChunkEncoder] = {}
@@ -147,9 +168,7 @@ def tokenize(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(content.value, split_chunks)
         before = 0
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in slices(batches):
             packed = [encoder.packed(x or "") + closing for x in batch.column(text).to_pylist()]
             counts = np.array([len(x) // 4 for x in packed], np.int64)
             ends = np.cumsum(counts)

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 import public_tokenizers
 
-from vitrine.llm import bpe, decontaminate, html_text, langid, licenses, near_dedup, secrets, token_files, winnowing
+from vitrine.llm import bpe, decontaminate, html_text, langid, licenses, near_dedup, secrets, substring_dedup, token_files, winnowing
 from vitrine.llm.common import table
 from vitrine.session import scratch_path
 
@@ -146,4 +146,11 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(docs).drop("text")
 
 
+@register
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes that repeated strings of 200 bytes cover, removed from every document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return substring_dedup.deduplicate(docs, with_text=False)
+
+
 ORACLES["op9_license_scan"] = licenses.oracle()

@@ -12,7 +12,11 @@ from vitrine.llm import stages
 from vitrine.session import materialise
 
 STAGES = [
+    ("language", stages.language),
+    ("near_copies", stages.near_copies),
     ("decontamination", stages.decontamination),
+    ("secrets", stages.secret_scan),
+    ("token_ids", stages.token_ids),
 ]
 
 #: The classifier, the sampled sketches and the tokenizer have no SQL counterpart.

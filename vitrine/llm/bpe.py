@@ -12,7 +12,7 @@ match of the pattern can straddle, and equal cuttings are encoded once per worke
 memo, not a bound on the work).
 
 Null and empty texts have no ids and decode to no bytes.  Repeated rows repeat their ids.
-The input's columns are kept; a clash with ``ids`` or ``decoded`` raises.
+The input's columns are kept; one named as a result is replaced.
 """
 
 from __future__ import annotations
@@ -227,8 +227,7 @@ def _share(df: DataFrame, words: Vocabulary) -> _Shared:
 
 def encode(docs: DataFrame, words: Vocabulary, text: str = "text", ids: str = "ids") -> DataFrame:
     """Every row with the binary column ``ids``: little-endian unsigned 32-bit integers."""
-    if ids in docs.columns:
-        raise ValueError(f"input already has {ids}")
+    docs = docs.drop(ids)
     shared, schema = _share(docs, words), T.StructType([*docs.schema.fields, T.StructField(ids, T.BinaryType(), False)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -244,8 +243,7 @@ def encode(docs: DataFrame, words: Vocabulary, text: str = "text", ids: str = "i
 
 def decode(rows: DataFrame, words: Vocabulary, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
     """Every row with the binary column ``decoded``: the bytes that its ids stand for."""
-    if decoded in rows.columns:
-        raise ValueError(f"input already has {decoded}")
+    rows = rows.drop(decoded)
     shared = _share(rows, words)
     schema = T.StructType([*rows.schema.fields, T.StructField(decoded, T.BinaryType(), False)])
 

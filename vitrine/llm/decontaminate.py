@@ -8,8 +8,8 @@ same result.  A hit counts only if the words agree, not just their hash.
 Words are runs of digits, letters a-z (A-Z is lower-cased first) and non-ASCII characters.
 A null or empty text has no words, no hits and no items; an item without words has no
 window; an item shorter than the window is one window of its own length.  Rows that
-repeat get the same result each; the input's columns are kept, and a clash with a result
-column is an error of the caller's naming, raised at once.
+repeat get the same result each; the input's columns are kept, and one named as a result
+is replaced.
 """
 
 from __future__ import annotations
@@ -142,9 +142,7 @@ def find_hits(
     max_broadcast_bytes: int = MAX_BROADCAST_BYTES,
 ) -> DataFrame:
     """Every input row with ``n_words``, ``n_hit``, ``items`` (sorted strings) and ``spans`` (bytes, end exclusive)."""
-    clash = {f.name for f in RESULT} & set(docs.columns)
-    if clash:
-        raise ValueError(f"input already has {sorted(clash)}")
+    docs = docs.drop(*RESULT.names, "_text", "_key", "_places", "_items")
     windows = benchmark_windows(benchmark, width, text=text if text in benchmark.columns else "text", item=item)
     size = windows.select(F.sum(F.octet_length("window") + F.octet_length("item") + 200)).head()[0] or 0
     if size <= max_broadcast_bytes:

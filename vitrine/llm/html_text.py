@@ -19,8 +19,8 @@ tree.  Text outside it is dropped.
 
 Character references are decoded, white space inside a block becomes one space, blocks are
 joined in page order by one space.  Null and empty pages have empty text.  Repeated pages
-count as pages.  Unclosed elements end with their parent.  The input's columns are kept; a
-clash with ``text``, ``n_chars`` or a helper column raises.
+count as pages.  Unclosed elements end with their parent.  The input's columns are kept; one
+named ``text``, ``n_chars`` or as a helper is replaced.
 """
 
 from __future__ import annotations
@@ -37,6 +37,7 @@ from vitrine.llm.common import slices
 
 THRESHOLD = 0.3
 MIN_PAGES = 5
+SALTS = 64
 
 # Kinds of HTML elements.
 BLOCKS = frozenset(
@@ -307,12 +308,12 @@ def extract(
     pages: DataFrame, url: str = "url", html: str = "html", threshold: float = THRESHOLD, min_pages: int = MIN_PAGES
 ) -> DataFrame:
     """Every page with ``text`` and ``n_chars`` in place of its html."""
-    clash = {"text", "n_chars", "_host", "_removed"} & set(pages.columns)
-    if clash:
-        raise ValueError(f"input already has {sorted(clash)}")
-    hosted = pages.withColumn("_host", host_of(url))
+    pages = pages.drop("text", "n_chars", "_host", "_salt", "_removed")
+    hosted = pages.withColumn("_host", host_of(url)).withColumn("_salt", F.pmod(F.xxhash64(url, html), F.lit(SALTS)))
     removed = removable(style_nodes(hosted, html), threshold, min_pages).withColumnRenamed("host", "_host")
-    joined = hosted.join(removed, "_host", "left")
+    # a host's pages are dealt over SALTS keys, its few nodes are copied to each
+    copies = removed.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    joined = hosted.join(copies, ["_host", "_salt"], "left")
     kept = [f for f in pages.schema.fields if f.name != html]
     schema = T.StructType([*kept, T.StructField("text", T.StringType(), False), T.StructField("n_chars", T.LongType(), False)])
 

@@ -12,7 +12,7 @@ whole text.  Language, source and id are no inputs of a prediction.
 
 A null text, or one without a letter, is ``und`` with score 0; so is every text if nothing
 could be learned.  Rows without an id or a language teach nothing.  Repeated rows get equal
-results.  The input's columns are kept; a clash with a result column raises.
+results.  The input's columns are kept; one named as a result is replaced.
 """
 
 from __future__ import annotations
@@ -200,9 +200,7 @@ def fit(docs: DataFrame, allowed: Column, per_language: int = PER_LANGUAGE) -> M
 
 def predict(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
     """Every row with ``lang_pred`` and ``score``."""
-    clash = {"lang_pred", "score"} & set(docs.columns)
-    if clash:
-        raise ValueError(f"input already has {sorted(clash)}")
+    docs = docs.drop("lang_pred", "score")
     shared = docs.sparkSession.sparkContext.broadcast(model)
     schema = T.StructType(
         [*docs.schema.fields, T.StructField("lang_pred", T.StringType(), False), T.StructField("score", T.DoubleType(), False)]

@@ -10,7 +10,7 @@ hot word or file.
 
 Words are runs of digits, a-z (A-Z lower-cased) and non-ASCII characters.  Null and empty
 texts have no words, no labels, null places and score 0.  Repeated rows repeat their result.
-The input's columns are kept; a clash with a result column raises.
+The input's columns are kept; one named as a result or helper is replaced.
 """
 
 from __future__ import annotations
@@ -137,9 +137,7 @@ def scan(
     docs: DataFrame, templates: list[Template] = TEMPLATES, text: str = "text", frequency: dict[str, int] | None = None
 ) -> DataFrame:
     """Every row with ``RESULTS``."""
-    clash = {*RESULTS, "_words", "_places"} & set(docs.columns)
-    if clash:
-        raise ValueError(f"input already has {sorted(clash)}")
+    docs = docs.drop(*RESULTS, "_words", "_places", *[f"_t{i}" for i in range(len(templates))])
     if frequency is None:
         frequency = document_frequencies(docs, templates, text)
     chosen = {t: rare_words(t, frequency) for t in templates}

@@ -12,7 +12,7 @@ The ids of earlier files are summed from one row per file at read time.
 
 Null and empty texts have only the end id.  Rows with equal or null document ids are all
 kept; nulls come first and rows of equal ids are ordered by text.  Extra input columns are
-stored too, except clashes with the store's own names, which raise.
+stored too; those with the store's own names are replaced.
 """
 
 from __future__ import annotations
@@ -151,9 +151,7 @@ def tokenize(
     split_chunks: bool = True,
 ) -> DataFrame:
     """Rows in ascending key order over ``parts`` partitions, the text replaced by ``FIELDS``."""
-    clash = set(FIELDS.names) & set(docs.columns)
-    if clash:
-        raise ValueError(f"input already has {sorted(clash)}")
+    docs = docs.drop(*FIELDS.names)
     with open(tokenizer_path) as lines:
         content = docs.sparkSession.sparkContext.broadcast(lines.read())
     ordered = (

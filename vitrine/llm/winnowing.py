@@ -9,8 +9,8 @@ run of its own.  Positions are kept, so matches can be located and their order c
 Null and empty texts have an empty fingerprint.  Two fingerprints' likeness is the Jaccard
 index of their hash sets, 1 for two empty ones.  Equal texts have equal fingerprints.
 Neighbours are taken in the order of the key (nulls first, rows of equal keys by text); the
-last row's next one is the first, a lone row is its own.  The input's columns are kept; a
-clash with a result column raises.
+last row's next one is the first, a lone row is its own.  The input's columns are kept; one
+named as a result or helper is replaced.
 """
 
 from __future__ import annotations
@@ -33,6 +33,9 @@ STRETCH_BITS = 20
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 
+_OWN = (
+    "n_chars edited_sha256 fingerprint edited_fingerprint near_edited near_next _range _ahead _key _place _copy".split()
+)
 FINGERPRINT = T.ArrayType(
     T.StructType([T.StructField("hash", T.LongType(), False), T.StructField("pos", T.LongType(), False)]), False
 )
@@ -101,8 +104,7 @@ def as_hex(hashes: np.ndarray) -> str:
 
 def fingerprints(docs: DataFrame, text: str = "text", k: int = K, window: int = WINDOW) -> DataFrame:
     """Every row with ``fingerprint``: its (hash, position) pairs."""
-    if "fingerprint" in docs.columns:
-        raise ValueError("input already has fingerprint")
+    docs = docs.drop("fingerprint")
     schema = T.StructType([*docs.schema.fields, T.StructField("fingerprint", FINGERPRINT, False)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -182,6 +184,7 @@ def compare_edits(
 ) -> DataFrame:
     """Fingerprints of every row and of its edited text, and their likeness to each other and to the next row."""
     partitions = partitions or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    docs = docs.drop(*[c for c in _OWN if c not in (key, text)])
     kept = [f for f in docs.schema.fields if f.name != text]
     schema = T.StructType(
         [
@@ -194,9 +197,6 @@ def compare_edits(
             T.StructField("near_next", T.DoubleType()),
         ]
     )
-    clash = {*schema.names[len(kept) :], "_range", "_ahead", "_key", "_place", "_copy"} & {f.name for f in kept}
-    if clash:
-        raise ValueError(f"input already has {sorted(clash)}")
     ordered = in_order(docs, key, text, 8 * partitions, partitions)
 
     def compared(pair):

@@ -30,8 +30,8 @@ from pyspark.sql import types as T
 
 from vitrine.llm.common import slices
 
-#: Entries that a worker remembers of cuttings; half as many pieces and token pairs.
-MEMO = 300_000
+#: Entries in each generation of a worker's memos of cuttings, pieces and token pairs.
+MEMO = 150_000
 _NEVER = 1 << 40
 _SPACES = re.compile(r" \s")
 _CUT = re.compile(r"(?= \S)")
@@ -86,7 +86,8 @@ class Encoder:
         self.automaton.make_automaton()
         self.fitting: dict[int, bool] = {}
         self.shorter: dict[int, int] = {}
-        self.memo = _Memo(self)
+        self.pieces = _Generations(self._pack_piece)
+        self.memo = _Generations(self._pack_cutting)
 
     def fits(self, left: int, right: int) -> bool:
         """Whether the tokens can stand side by side: going back through their merges, latest first,
@@ -94,7 +95,7 @@ class Encoder:
         key = left << 24 | right
         known = self.fitting.get(key)
         if known is None:
-            if len(self.fitting) >= MEMO // 2:
+            if len(self.fitting) >= MEMO:
                 self.fitting.clear()
             known = self.fitting[key] = self._fits(left, right)
         return known
@@ -153,6 +154,12 @@ class Encoder:
                 raise ValueError("a byte of the text is not in the vocabulary")
         return out
 
+    def _pack_piece(self, piece: str) -> bytes:
+        return np.array(self.encode_piece(piece.encode()), "<u4").tobytes()
+
+    def _pack_cutting(self, cutting: str) -> bytes:
+        return b"".join(map(self.pieces.__getitem__, self.find(cutting)))
+
     def packed(self, text: str) -> bytes:
         """The ids of a text as little-endian unsigned 32-bit integers."""
         if not text:
@@ -165,30 +172,23 @@ class Encoder:
         return b"".join(map(self.memo.__getitem__, cuttings))
 
 
-class _Memo(dict):
-    """Cutting -> packed ids."""
+class _Generations(dict):
+    """A memo of two generations: a full one becomes the old one, from which entries come back on use."""
 
-    def __init__(self, encoder: Encoder):
+    def __init__(self, make):
         super().__init__()
-        self.encoder, self.pieces = encoder, {}
-
-    def __missing__(self, cutting: str) -> bytes:
-        found, pieces = [], self.pieces
-        for piece in self.encoder.find(cutting):
-            ids = pieces.get(piece)
-            if ids is None:
-                ids = np.array(self.encoder.encode_piece(piece.encode()), "<u4").tobytes()
-                if len(piece) < 64:
-                    if len(pieces) >= MEMO // 2:
-                        pieces.clear()
-                    pieces[piece] = ids
-            found.append(ids)
-        packed = b"".join(found)
-        if len(cutting) < 64:
+        self.make, self.old = make, {}
+
+    def __missing__(self, key: str) -> bytes:
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+        if len(key) < 64:
             if len(self) >= MEMO:
+                self.old = dict(self)
                 self.clear()
-            self[cutting] = packed
-        return packed
+            self[key] = value
+        return value
 
 
 _vocabularies: dict[tuple[str, str], Vocabulary] = {}

@@ -215,7 +215,8 @@ def _by_shuffle(docs: DataFrame, windows: DataFrame, text: str) -> DataFrame:
         F.collect_set(F.struct("at", "n")).alias("_places"), F.sort_array(F.collect_set("item")).alias("_items")
     )
     schema = T.StructType([*docs.schema.fields, *RESULT.fields])
-    joined = keyed.join(found, "_key", "left").select(*docs.columns, "_places", "_items")
+    kept_names = docs.columns
+    joined = keyed.join(found, "_key", "left").select(*kept_names, "_places", "_items")
 
     def finish(batches):
         for batch in batches:
@@ -227,8 +228,8 @@ def _by_shuffle(docs: DataFrame, windows: DataFrame, text: str) -> DataFrame:
             ):
                 start, end, _ = word_hashes(raw)
                 rows.append(_result(len(start), start, end, [(p["at"], p["n"]) for p in places or ()], items or ()))
-            kept = [batch.column(c) for c in docs.columns]
-            yield pa.RecordBatch.from_arrays([*kept, *_columns(rows)], names=[*docs.columns, *RESULT.names])
+            kept = [batch.column(c) for c in kept_names]
+            yield pa.RecordBatch.from_arrays([*kept, *_columns(rows)], names=[*kept_names, *RESULT.names])
 
     return joined.mapInArrow(finish, schema)
 

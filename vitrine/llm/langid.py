@@ -185,8 +185,8 @@ def fit(docs: DataFrame, allowed: Column, per_language: int = PER_LANGUAGE) -> M
             keep = [i for i, t in enumerate(texts) if has_letter(t)]
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column("doc_id").cast(pa.string()).take(keep),
-                    batch.column("lang").take(keep),
+                    batch.column("doc_id").cast(pa.string()).take(pa.array(keep, pa.int64())),
+                    batch.column("lang").take(pa.array(keep, pa.int64())),
                     pa.array([features(texts[i]).tobytes() for i in keep], pa.binary()),
                 ],
                 names=["doc_id", "lang", "features"],

@@ -232,7 +232,8 @@ def verified(pairs: DataFrame, words: DataFrame, similarity: float = SIMILARITY)
                 most = int((1 - similarity) * max(len(x), len(y)) + 1e-9)
                 if edit_distance_within(x, y, most) is not None:
                     keep.append(i)
-            yield pa.RecordBatch.from_arrays([batch.column("a").take(keep), batch.column("b").take(keep)], names=["a", "b"])
+            chosen = pa.array(keep, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("a").take(chosen), batch.column("b").take(chosen)], names=["a", "b"])
 
     return both.select("a", "b", "wa", "wb").mapInArrow(run, "a binary, b binary")
 
@@ -251,7 +252,7 @@ def words_of_nodes(docs: DataFrame, carriers: DataFrame, key: str, text: str) ->
             ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
             flat = np.concatenate(found) if found else np.empty(0, np.int32)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("node").take(keep), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat, pa.int32()))],
+                [batch.column("node").take(pa.array(keep, pa.int64())), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat, pa.int32()))],
                 names=["node", "words"],
             )
 

@@ -166,7 +166,7 @@ def train(x: np.ndarray, languages: list[str]) -> Model | None:
 
 def learning_rows(docs: DataFrame, allowed: Column, per_language: int = PER_LANGUAGE) -> DataFrame:
     """A hash sample of about ``per_language`` rows of each language among the allowed ones."""
-    known = docs.where(allowed & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    known = docs.where(allowed & F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull())
     counts = {r.lang: r["count"] for r in known.groupBy("lang").count().collect()}  # a row per language
     part = F.lit(0.0)
     for lang, n in sorted(counts.items()):

@@ -74,7 +74,7 @@ def test_chunks_equal_whole_texts():
     @settings(max_examples=400, deadline=None)
     @given(TEXT)
     def same(text):
-        assert np.frombuffer(encoder.packed(text), "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(encoder.packed([text])[0], "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids
 
     same()
 

@@ -135,18 +135,19 @@ def places(found: DataFrame) -> DataFrame:
     counts = found.groupBy("anchor").agg(F.count("*").alias("c"), F.min("name").alias("lo"), F.max("name").alias("hi"))
     again = counts.where("c > 1").select("anchor", (F.col("lo") != F.col("hi")).alias("mixed"))
     hits = materialise(found.join(again, "anchor"), "hits")
+    place_hash = F.xxhash64("k1", "k2", "at")  # one place of a name sends its text; two with equal hashes do no harm
     names = (
         hits.where("mixed")
         .groupBy("anchor", "name")
-        .agg(F.count("*").alias("c"), F.min(F.struct("k1", "k2", "at")).alias("first"))
+        .agg(F.count("*").alias("c"), F.min(place_hash).alias("first"))
     )
     differing = hits.where("mixed").join(names, ["anchor", "name"]).select(
-        "k1", "k2", "at", "n", (F.col("c") > 1).alias("repeated"), F.col("first").eqNullSafe(F.struct("k1", "k2", "at")).alias("send"), "anchor"
+        "k1", "k2", "at", "n", (F.col("c") > 1).alias("repeated"), (F.col("first") == place_hash).alias("send"), "anchor"
     )
     alike = hits.where("not mixed").select(
         "k1", "k2", "at", "n", F.lit(True).alias("repeated"), F.lit(False).alias("send"), "anchor"
     )
-    place = F.struct("at", "n", "repeated", "send", "anchor")
+    place = F.struct("at", "n", "repeated", "send", F.when(F.col("send"), F.col("anchor")).alias("anchor"))
     return differing.union(alike).groupBy("k1", "k2").agg(F.collect_set(place).alias("_places"))
 
 

@@ -78,25 +78,32 @@ class ChunkEncoder:
 
     def __init__(self, content: str, split_chunks: bool):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_str(content)
         self.tokenizer.encode_special_tokens = True  # their names in a text are text
         self.split_chunks = split_chunks
         self.memo, self.words = _Generations(), _Generations()
+        # for lower-case ASCII words, which normalising leaves alone
+        self.letters = Tokenizer(self.tokenizer.model) if split_chunks else None
+        if self.letters:
+            self.letters.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         suffix = json.loads(content)["model"].get("end_of_word_suffix") or ""
         vocabulary = self.tokenizer.get_vocab()
         self.ends_word = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
         self.ends_word[[i for token, i in vocabulary.items() if suffix and token.endswith(suffix)]] = True
 
-    def packed(self, text: str) -> bytes:
-        if not self.split_chunks or _ODD_SPACE.search(text):
-            return self._encode(text)
-        chunks = (text.lower() if text.isascii() else text).split()
-        new = self.memo.unknown(set(chunks))
+    def packed(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text as little-endian unsigned 32-bit integers."""
+        if not self.split_chunks:
+            return [self._encode(x) for x in texts]
+        plain = [not _ODD_SPACE.search(x) for x in texts]
+        chunks = [(x.lower() if x.isascii() else x).split() if p else [] for x, p in zip(texts, plain)]
+        new = self.memo.unknown(set().union(*chunks))
         if new:
             self._learn(new)
-        return b"".join(map(self.memo.young.__getitem__, chunks))
+        of = self.memo.young.__getitem__
+        return [b"".join(map(of, c)) if p else self._encode(x) for x, p, c in zip(texts, plain, chunks)]
 
     def _encode(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -113,21 +120,27 @@ class ChunkEncoder:
         new.discard("")
         known[""] = b""
         # words of letters alone are one token run each, which ends where a token ends a word
-        plain = [x for x in new if x.isalpha()]
-        for at in range(0, len(plain), 4096):
-            some = plain[at : at + 4096]
-            ids = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, "<u4")
+        words = [x for x in new if x.isalpha()]
+        self._encode_words([x for x in words if x.isascii() and x.islower()], self.letters, known)
+        self._encode_words([x for x in words if not x.isascii()], self.tokenizer, known)
+        for word in new.difference(known):
+            known[word] = self._encode(word)
+        memo = self.memo.young
+        for chunk, (word, ending) in halves.items():
+            memo[chunk] = known[word] + known[ending]
+
+
+    def _encode_words(self, words: list[str], tokenizer, known: dict[str, bytes]) -> None:
+        """One call for many words; left to the caller if the ids can't be told apart."""
+        for at in range(0, len(words), 4096):
+            some = words[at : at + 4096]
+            ids = np.array(tokenizer.encode(" ".join(some), add_special_tokens=False).ids, "<u4")
             ends = (np.flatnonzero(self.ends_word[ids]) + 1).tolist()
             if len(ends) == len(some) and ends[-1] == len(ids):
                 packed, first = ids.tobytes(), 0
                 for word, end in zip(some, ends):
                     known[word] = packed[4 * first : 4 * end]
                     first = end
-        for word in new.difference(known):
-            known[word] = self._encode(word)
-        memo = self.memo.young
-        for chunk, (word, ending) in halves.items():
-            memo[chunk] = known[word] + known[ending]
 
 
 _encoders: dict[tuple[int, bool], ChunkEncoder] = {}
@@ -167,7 +180,7 @@ def tokenize(
         encoder = _encoder(content.value, split_chunks)
         before = 0
         for batch in slices(batches):
-            packed = [encoder.packed(x or "") + closing for x in batch.column(text).to_pylist()]
+            packed = [ids + closing for ids in encoder.packed([x or "" for x in batch.column(text).to_pylist()])]
             counts = np.array([len(x) // 4 for x in packed], np.int64)
             ends = np.cumsum(counts)
             tokens = pa.ListArray.from_arrays(

@@ -54,8 +54,11 @@ def top_cells(scores: np.ndarray, k: int, positive: bool = False) -> tuple[np.nd
     """Row and column numbers of the best ``k`` cells of each row, best first.
 
     Scores are compared at six decimals; equal ones are taken in column order.
-    With ``positive`` only cells above zero count.
+    With ``positive`` only cells above zero count.  A cell that is no number is
+    no hit and takes no place.
     """
+    if np.isnan(scores).any():
+        scores = np.where(np.isnan(scores), -np.inf, scores)
     # the k-th largest of the maxima of k or more stretches is a floor for the k-th largest cell
     maxima = np.maximum.reduceat(scores, np.arange(0, scores.shape[1], _STRETCH), axis=1)
     floor = np.full(len(scores), -np.inf)
@@ -63,7 +66,7 @@ def top_cells(scores: np.ndarray, k: int, positive: bool = False) -> tuple[np.nd
         floor = np.partition(maxima, -k, axis=1)[:, -k] - 2 * 10.0**-DECIMALS
     if positive:
         floor = np.maximum(floor, np.nextafter(0, 1))
-    row, column = np.nonzero(scores >= floor[:, None])
+    row, column = np.nonzero((scores >= floor[:, None]) & (scores > -np.inf))
     rounded = np.rint(scores[row, column] * 10.0**DECIMALS)
     order = np.lexsort((column, -rounded, row))
     row, column = row[order], column[order]

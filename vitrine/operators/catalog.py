@@ -90,14 +90,21 @@ def all_occasions(catalog: DataFrame, occasions: list[str]) -> DataFrame:
 
 
 def size_availability(requests: DataFrame, catalog: DataFrame) -> DataFrame:
-    """For each ``(sku, size)`` asked for: its quantity, a status, and the sizes in stock."""
+    """For each ``(sku, size)`` asked for: its quantity, a status, and the other sizes in stock.
+
+    A sku that the catalog does not hold is not offered in any size.
+    """
     qty = F.try_element_at("stock", F.col("size"))
     status = (
         F.when(qty.isNull(), "not offered").when(qty > 0, "available").otherwise("out of stock")
     )
     others = F.map_keys(F.map_filter("stock", lambda key, n: (n > 0) & (key != F.col("size"))))
-    return requests.join(catalog, "sku").select(
-        "sku", "size", qty.alias("qty"), status.alias("status"), others.alias("other_sizes")
+    return requests.join(catalog, "sku", "left").select(
+        "sku",
+        "size",
+        qty.alias("qty"),
+        status.alias("status"),
+        F.coalesce(others, F.array().cast("array<string>")).alias("other_sizes"),
     )
 
 
@@ -109,19 +116,24 @@ def alternatives_for(catalog: DataFrame, sku: str, size: str) -> DataFrame:
 def alternatives(requests: DataFrame, catalog: DataFrame, n: int = 3) -> DataFrame:
     """For each request whose size is out: the ``n`` cheapest other products having it.
 
+    A product is a sku; of its rows with the size the cheapest stands for it.
     Instead of pairing every request with every product, the ``n + 1`` cheapest
     products of each size are ranked once (the rank limit is applied in every
     task before the shuffle) and joined by size; the spare one covers the
     request's own product.
     """
     out = size_availability(requests, catalog).filter("status = 'out of stock'").select("sku", "size")
-    stocked = catalog.select(
+    rows = catalog.select(
         F.col("sku").alias("alt_sku"),
-        F.col("name").alias("alt_name"),
-        F.col("price_eur").alias("alt_price"),
-        "ord",
+        F.struct(
+            F.col("price_eur").isNull().alias("unpriced"),
+            F.col("price_eur").alias("alt_price"),
+            "ord",
+            F.col("name").alias("alt_name"),
+        ).alias("row"),
         F.explode(F.map_keys(F.map_filter("stock", lambda _, qty: qty > 0))).alias("size"),
     )
+    stocked = rows.groupBy("size", "alt_sku").agg(F.min("row").alias("row")).select("size", "alt_sku", "row.*")
     by_price = Window.partitionBy("size").orderBy(F.asc_nulls_last("alt_price"), "ord")
     best = stocked.withColumn("_rank", F.row_number().over(by_price)).filter(F.col("_rank") <= n + 1)
     # The self match can only push later entries up by one place, so the place
@@ -130,7 +142,7 @@ def alternatives(requests: DataFrame, catalog: DataFrame, n: int = 3) -> DataFra
     place = F.col("_rank") - F.when(F.col("_own") < F.col("_rank"), 1).otherwise(0)
     return (
         out.join(own, ["sku", "size"], "left")
-        .join(best.drop("ord"), "size")
+        .join(best.drop("ord", "unpriced"), "size")
         .filter("alt_sku <> sku")
         .withColumn("place", place)
         .filter(F.col("place") <= n)

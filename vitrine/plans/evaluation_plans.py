@@ -10,7 +10,7 @@ from vitrine.plans.dialogue_plans import CONTEXT_SQL, TOOLS_SQL, _cascade, promp
 from vitrine.plans.corpus_plans import CORPUS_SQL
 from vitrine.plans.retrieval_plans import bm25_sql, chunk_index
 from vitrine.plans.views import (
-    CATALOG_SQL, GOLD_SOURCES_SQL, GOLD_SQL, SCORES_SQL, VOCABULARY, catalog, documents, gold, gold_sources, scores,
+    CATALOG_SQL, GOLD_SOURCES_SQL, GOLD_SQL, SCORES_SQL, VOCABULARY, catalog, gold, gold_sources, policy_documents, scores,
 )
 from vitrine.sources.files import RUBRIC_ROWS, rubric
 
@@ -22,7 +22,7 @@ def _gold_hits(spark, sf_dir):
 
 
 def _eval(spark, sf_dir, hits):
-    result = E.run_eval(gold(spark, sf_dir), catalog(spark, sf_dir), documents(spark, sf_dir), hits, VOCABULARY)
+    result = E.run_eval(gold(spark, sf_dir), catalog(spark, sf_dir), policy_documents(spark, sf_dir), hits, VOCABULARY)
     return result.withColumns(
         {
             "retrieved_sources": F.array_join("retrieved_sources", ","),

@@ -127,6 +127,13 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("id"), "text")
 
 
+def policy_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The two documents that stand for policies, filtered by the stored key, so that the scan skips the rest."""
+    wanted = [int(VOCABULARY.returns_document), int(VOCABULARY.shipping_document)]
+    docs = table(spark, sf_dir, "documents").filter(F.col("doc_id").isin(wanted))
+    return docs.select(F.col("doc_id").cast("string").alias("id"), "text")
+
+
 def spread_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For chunking and indexing, where the work per text is heavy."""
     return spread(documents(spark, sf_dir), "id")

@@ -10,6 +10,7 @@ from vitrine.plans.views import DOCUMENTS_SQL, QUESTIONS_SQL, questions, spread_
 from vitrine.session import materialise, still_stored
 
 K = 3
+# where the fusion begins to read; it goes on as deep as each question needs
 FUSED_DEPTH = 10
 
 
@@ -82,8 +83,11 @@ def _text_topk(scheme: str, k: int):
 
 
 def hybrid_rrf(spark, sf_dir):
-    lists = [_text_topk(scheme, FUSED_DEPTH)(spark, sf_dir) for scheme in ("bm25", "tfidf")]
-    return _ranked(fusion.reciprocal_rank_fusion(*lists, K))
+    def search(scheme):
+        index = document_index(spark, sf_dir, scheme)
+        return lambda asked, depth: lexical.search(index, asked, depth)
+
+    return _ranked(fusion.fuse_whole_lists(search("bm25"), search("tfidf"), questions(spark, sf_dir), K, FUSED_DEPTH))
 
 
 def tfidf_vectors(spark, sf_dir):
@@ -175,8 +179,8 @@ ORACLES = {
     "tfidf_vectors": f"WITH {DOCUMENTS_SQL}, {QUESTIONS_SQL}, {tfidf_sql()} SELECT id, term, round(w, 6) AS w FROM t_vectors",
     "tfidf_topk": f"WITH {DOCUMENTS_SQL}, {QUESTIONS_SQL}, {tfidf_sql()} SELECT question_id, rank, id, score FROM hits",
     "bm25_topk": f"WITH {DOCUMENTS_SQL}, {QUESTIONS_SQL}, {bm25_sql('docs')} SELECT question_id, rank, id, score FROM hits",
-    "hybrid_rrf": f"""WITH {DOCUMENTS_SQL}, {QUESTIONS_SQL}, {bm25_sql('docs', k=FUSED_DEPTH, hits='sparse')},
-        {tfidf_sql(k=FUSED_DEPTH, hits='dense')}, fused AS (
+    "hybrid_rrf": f"""WITH {DOCUMENTS_SQL}, {QUESTIONS_SQL}, {bm25_sql('docs', k=10**12, hits='sparse')},
+        {tfidf_sql(k=10**12, hits='dense')}, fused AS (
         SELECT coalesce(s.question_id, d.question_id) AS question_id, coalesce(s.id, d.id) AS id,
                round(coalesce(1.0::DOUBLE / (60 + s.rank), 0) + coalesce(1.0::DOUBLE / (60 + d.rank), 0), 6) AS score
         FROM sparse s FULL OUTER JOIN dense d ON s.question_id = d.question_id AND s.id = d.id)

@@ -206,8 +206,9 @@ def gold_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     A document holding a passage holds every run of four words inside it.
     Each passage is looked up by its rarest run, and the text is compared only
-    for the documents found.  Passages need six words; shorter ones would have
-    no inner run.
+    for the documents found.  A passage under six words has no inner run; those
+    few are one set of at most ``SHORT_PASSAGES`` texts per pass over the
+    documents, and each text is searched for all of them.
     """
     passages = table(spark, sf_dir, "benchmark").select(
         F.concat(F.lit("g"), F.col("item_id").cast("string")).alias("question_id"), "text"
@@ -223,15 +224,31 @@ def gold_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     keys = ranked.filter("rarest.n > 0").select("question_id", F.col("rarest.gram").alias("gram"))
     candidates = present.join(keys, "gram").select("question_id", "id")
+    short = passages.filter(F.size(F.filter(F.split("text", r"\s+"), lambda w: w != "")) < _GRAM + 2)
     verified = (
         candidates.join(passages.withColumnRenamed("text", "passage"), "question_id")
         .join(docs, "id")
         .filter(F.col("text").contains(F.col("passage")))
         .select("question_id", F.col("id").alias("source_id"))
     )
+    verified = verified.unionByName(_containing(docs, short))
     return passages.select("question_id").join(verified, "question_id", "left")
 
 
+SHORT_PASSAGES = 1000
+
+
+def _containing(docs: DataFrame, passages: DataFrame) -> DataFrame:
+    """``(question_id, source_id)`` of documents that contain short passages, in blocks of passages."""
+    asked = [tuple(r) for r in passages.select("question_id", "text").collect()]  # a part of the golden set
+    found = docs.sparkSession.createDataFrame([], "question_id string, source_id string")
+    for at in range(0, len(asked), SHORT_PASSAGES):
+        block = F.array(*[F.struct(F.lit(q).alias("q"), F.lit(t).alias("t")) for q, t in asked[at : at + SHORT_PASSAGES]])
+        held = F.explode(F.filter(block, lambda p: F.col("text").contains(p["t"])))
+        found = found.unionByName(docs.select(held.alias("p"), "id").select(F.col("p.q").alias("question_id"), F.col("id").alias("source_id")))
+    return found
+
+
 GOLD_SOURCES_SQL = """
 gold_sources AS (
   SELECT 'g' || item_id AS question_id, CAST(d.doc_id AS VARCHAR) AS source_id

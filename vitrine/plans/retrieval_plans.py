@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from vitrine.operators import dense, fusion, lexical
 from vitrine.plans.corpus_plans import CORPUS_SQL, shop_corpus
 from vitrine.plans.views import DOCUMENTS_SQL, QUESTIONS_SQL, questions, spread_documents, table
-from vitrine.session import materialise, still_stored
+from vitrine.session import input_state, materialise, still_stored
 
 K = 3
 # where the fusion begins to read; it goes on as deep as each question needs
@@ -43,16 +43,18 @@ def hits_with_text(spark, sf_dir):
     return dense.with_text(vector_topk(spark, sf_dir), corpus)
 
 
-_counts: dict[tuple[str, str], lexical.TermCounts] = {}
-_indexes: dict[tuple[str, str, str], lexical.LexicalIndex] = {}
+_counts: dict[tuple, lexical.TermCounts] = {}
+_indexes: dict[tuple, lexical.LexicalIndex] = {}
 
 
 def document_index(spark, sf_dir, scheme: str) -> lexical.LexicalIndex:
     """The text index of the documents: built on first use, then shared by all searches.
 
-    The scratch folder may be emptied between queries; then it is built again.
+    The scratch folder may be emptied between queries; then it is built again, as
+    it is when the files of the documents are others.
     """
-    docs, key = spread_documents(spark, sf_dir), (spark.sparkContext.applicationId, sf_dir)
+    docs = spread_documents(spark, sf_dir)
+    key = (spark.sparkContext.applicationId, input_state(table(spark, sf_dir, "documents")))
     if key not in _counts or not still_stored(_counts[key].texts) or not still_stored(_counts[key].frequencies):
         _counts[key] = lexical.count_terms(docs)
         for scheme_key in [k for k in _indexes if k[:2] == key]:
@@ -62,12 +64,13 @@ def document_index(spark, sf_dir, scheme: str) -> lexical.LexicalIndex:
     return _indexes[(*key, scheme)]
 
 
-_corpora: dict[tuple[str, str], tuple] = {}
+_corpora: dict[tuple, tuple] = {}
 
 
 def chunk_index(spark, sf_dir):
     """The stored chunk corpus and its BM25 index, built on first use."""
-    key = (spark.sparkContext.applicationId, sf_dir)
+    states = tuple(input_state(table(spark, sf_dir, name)) for name in ("documents", "part", "lineitem"))
+    key = (spark.sparkContext.applicationId, states)
     known = _corpora.get(key)
     stored = known and (known[0], known[1].weights, known[1].frequencies)
     if not stored or not all(still_stored(part) for part in stored):

@@ -61,10 +61,21 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def input_state(df: DataFrame) -> tuple:
+    """Names, sizes and times of the files that ``df`` reads; another state means other data."""
+    spark = df.sparkSession
+    state = []
+    for name in sorted(df.inputFiles()):
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
+        status = path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path)
+        state.append((name, status.getLen(), status.getModificationTime()))
+    return tuple(state)
+
+
 def still_stored(df: DataFrame) -> bool:
     """Whether the files of a materialised table are still there."""
     spark, files = df.sparkSession, df.inputFiles()

@@ -17,11 +17,12 @@ def latest_by_key(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
 
     The maximum of a struct merges partial results in every task, so a key
     holding a third of all rows reaches the shuffle as one row per task.  Rows
-    equal in ``order`` are settled by their other columns, which makes
-    replaying a batch change nothing.
+    equal in ``order`` are settled by a digest of their columns, which makes
+    replaying a batch change nothing; maps may be among them.
     """
     rest = [c for c in rows.columns if c != key]
-    last = F.max(F.struct(*order, *[c for c in rest if c not in order]))
+    digest = F.sha2(F.to_json(F.struct(*rest), {"ignoreNullFields": "false"}), 256)
+    last = F.max_by(F.struct(*rest), F.struct(*order, digest))
     return rows.groupBy(key).agg(last.alias("_row")).select(key, *[F.col(f"_row.{c}").alias(c) for c in rest])
 
 
@@ -45,9 +46,10 @@ def dimension_check(points: DataFrame, dim: int, column: str = "embedding") -> D
 class PointTable:
     """A collection of points with a fixed vector size, stored as parquet generations.
 
-    Every upsert writes a new generation folder and then moves a pointer file,
-    so a job never overwrites the files it is reading, and a failed write
-    leaves the current generation in place.
+    Every upsert writes a new generation folder; the newest one that was written
+    to its end counts.  So a job never overwrites the files it is reading, and a
+    failed write leaves the current generation in place; what it left behind is
+    replaced by the next upsert.
     """
 
     def __init__(self, spark: SparkSession, root: str, dim: int):
@@ -82,7 +84,7 @@ class PointTable:
         fresh = checked.filter("accepted").drop("dim", "accepted")
         done = self._generations()
         merged = upsert(self.read(), fresh) if done else latest_by_key(fresh, "id", ["version"])
-        merged.write.parquet(f"{self.root}/generation={(done[-1] + 1) if done else 0}")
+        merged.write.mode("overwrite").parquet(f"{self.root}/generation={(done[-1] + 1) if done else 0}")
         return checked.filter(~F.col("accepted"))
 
 

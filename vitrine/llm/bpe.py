@@ -31,7 +31,7 @@ from pyspark.sql import types as T
 from vitrine.llm.common import slices
 
 #: Entries in each generation of a worker's memos of cuttings, pieces and token pairs.
-MEMO = 150_000
+MEMO = 80_000
 _NEVER = 1 << 40
 _SPACES = re.compile(r" \s")
 _CUT = re.compile(r"(?= \S)")
@@ -154,6 +154,10 @@ class Encoder:
                 raise ValueError("a byte of the text is not in the vocabulary")
         return out
 
+    def rest(self) -> None:
+        """Between tasks a worker keeps the young generations only."""
+        self.pieces.old, self.memo.old = {}, {}
+
     def _pack_piece(self, piece: str) -> bytes:
         return np.array(self.encode_piece(piece.encode()), "<u4").tobytes()
 
@@ -237,6 +241,7 @@ def encode(docs: DataFrame, words: Vocabulary, text: str = "text", ids: str = "i
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array(packed, pa.binary())], names=[*batch.schema.names, ids]
             )
+        encoder.rest()
 
     return docs.mapInArrow(run, schema)
 

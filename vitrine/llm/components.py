@@ -6,6 +6,9 @@ from pyspark.sql import DataFrame, functions as F
 
 from vitrine.session import materialise
 
+#: Labels of up to so many nodes (counted) are broadcast; more meet the links in shuffled joins.
+BROADCAST_NODES = 200_000
+
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component): the least node of each node's component, for all nodes of the edges.
@@ -21,13 +24,15 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         links.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("c")).select("node", F.least("node", "c").alias("component")),
         "labels",
     )
+    few = labels.count() <= BROADCAST_NODES
+    ready = F.broadcast if few else (lambda df: df)
     while True:
-        offered = links.join(labels.select(F.col("node").alias("b"), "component"), "b").groupBy(F.col("a").alias("node")).agg(
+        offered = links.join(ready(labels.select(F.col("node").alias("b"), "component")), "b").groupBy(F.col("a").alias("node")).agg(
             F.min("component").alias("offered")
         )
-        lower = labels.join(offered, "node").select("node", "component", F.least("component", "offered").alias("low"))
+        lower = offered.join(ready(labels), "node").select("node", "component", F.least("component", "offered").alias("low"))
         jumped = (
-            lower.join(labels.select(F.col("node").alias("low"), F.col("component").alias("beyond")), "low", "left")
+            lower.join(ready(labels.select(F.col("node").alias("low"), F.col("component").alias("beyond"))), "low", "left")
             .select("node", F.col("component").alias("was"), F.least("low", F.coalesce("beyond", "low")).alias("component"))
         )
         new = materialise(jumped, "labels")

@@ -11,7 +11,7 @@ are the connected components of the links.
 Equal word sequences are one node of the graph; copies are never paired.  In a bucket of up
 to ``PAIRED`` nodes all pairs are candidates.  In a larger one every node is compared with a
 leader; where that leaves several classes, the bucket's nodes meet again in finer buckets of
-one more sketch each, up to ``DEPTH`` sketches, so a bucket of dissimilar texts that only
+one more sketch each (``DEPTH`` sketches in all), one node for each class, so a bucket of dissimilar texts that only
 share a common passage falls apart instead of being paired whole.
 
 A text without words is a node by its exact content; null counts as empty.  Texts under five
@@ -36,7 +36,7 @@ SHINGLE = 5
 SIMILARITY = 0.8
 SKETCHES = 48
 PAIRED = 16
-DEPTH = 3
+DEPTH = 2
 _SEEDS = mix(np.arange(1, 2 * SKETCHES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _ORDER = np.uint64(0xA0761D6478BD642F)
 _COLUMNS = 1 << 14
@@ -125,10 +125,8 @@ def _similar_lengths(a: str, b: str, similarity: float):
 
 def candidates(members: DataFrame, similarity: float, paired: int = PAIRED) -> tuple[DataFrame, DataFrame]:
     """Candidate pairs (a, b) of (bucket, node, n_words) rows, and the rows of the buckets that were not paired whole."""
-    groups = members.groupBy("bucket").agg(
-        F.count("*").alias("n"), F.min(F.struct(F.xxhash64("bucket", "node").alias("h"), "node", "n_words")).alias("lead")
-    )
-    met = materialise(members.join(groups.where("n > 1"), "bucket"), "met")
+    groups = members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
+    met = materialise(members.join(groups, "bucket"), "met")
     small = met.where(F.col("n") <= paired).select("bucket", "node", "n_words")
     other = small.select("bucket", F.col("node").alias("b"), F.col("n_words").alias("nb"))
     whole = (
@@ -136,7 +134,9 @@ def candidates(members: DataFrame, similarity: float, paired: int = PAIRED) -> t
         .where((F.col("node") < F.col("b")) & _similar_lengths("n_words", "nb", similarity))
         .select(F.col("node").alias("a"), "b")
     )
-    large = met.where(F.col("n") > paired)
+    crowded = met.where(F.col("n") > paired)
+    leads = crowded.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("bucket", "node").alias("h"), "node", "n_words")).alias("lead"))
+    large = crowded.join(leads, "bucket")
     star = large.where(
         (F.col("node") != F.col("lead.node")) & _similar_lengths("n_words", "lead.n_words", similarity)
     ).select(F.least("node", "lead.node").alias("a"), F.greatest("node", "lead.node").alias("b"))
@@ -293,9 +293,15 @@ def classes(
             .where("low != high")
             .select("bucket")
         )
-        again = unpaired.join(mixed, "bucket").join(nodes.select("node", "sketches"), "node")
-        finer = again.select("node", "n_words", "bucket", F.explode("sketches").alias("sketch")).where("bucket != sketch")
-        members = materialise(finer.select("node", "n_words", F.xxhash64("bucket", "sketch").alias("bucket")), "members")
+        again = unpaired.join(mixed, "bucket").join(labels, "node", "left").join(nodes.select("node", "sketches"), "node")
+        finer = again.select(
+            F.coalesce("component", "node").alias("class"), "node", "n_words", "bucket", F.explode("sketches").alias("sketch")
+        ).where("bucket < sketch")
+        # one node stands for its class in a finer bucket; the others of the class need no link to it
+        met = finer.groupBy(F.xxhash64("bucket", "sketch").alias("bucket"), "class").agg(
+            F.min(F.struct("node", "n_words")).alias("m")
+        )
+        members = materialise(met.select("m.node", "m.n_words", "bucket"), "members")
         if not members.limit(1).count():
             break
     placed = rows.select("id", "node").join(labels, "node", "left").select("id", F.coalesce("component", "node").alias("class"))

@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from vitrine.llm import bpe, decontaminate, langid, near_dedup, secrets
-from vitrine.llm.common import table
+from vitrine.llm.common import small_batches, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: Least score of an accepted language; under it the classifier is no better than a guess among three.
@@ -22,6 +22,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Without any labelled text there is no classifier, and only texts without a letter go.
     """
+    small_batches(spark)
     docs = docs.select(*COLUMNS)
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
     model = langid.fit(docs, ~held_out)
@@ -33,6 +34,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of every near-duplicate class stays, that of the least id."""
+    small_batches(spark)
     return near_dedup.without_near_copies(docs.select(*COLUMNS))
 
 
@@ -44,6 +46,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets are masked in the text; ``n_chars`` follows."""
+    small_batches(spark)
     docs = docs.select(*COLUMNS)
     masked = secrets.redact(secrets.scan(docs, secrets.fit(docs)))
     return masked.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
@@ -51,6 +54,7 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of every text, and whether they decode to it: (doc_id, lang, source, n_chars, n_tokens, ids, exact)."""
+    small_batches(spark)
     words = bpe.vocabulary(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
     decoded = bpe.decode(bpe.encode(docs.select(*COLUMNS), words), words)
     return decoded.select(

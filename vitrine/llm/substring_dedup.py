@@ -290,52 +290,59 @@ def cut(segments: DataFrame, starts: int, length: int, gram: int) -> DataFrame:
     return segments.mapInArrow(run, _SEGMENTS)
 
 
-def sort_shards(segments: DataFrame, length: int) -> DataFrame:
-    """(k1, k2, at, n) of open starts that share ``length`` bytes with a neighbour in suffix order.
+def repeated_starts(shard: list[tuple], length: int) -> list[tuple[int, int, int, int]]:
+    """(k1, k2, at, n) of the open starts of one shard that share ``length`` bytes with a neighbour in suffix order."""
+    sorter = SuffixSorter(length)
+    for i, (_, _, _, n, _, raw) in enumerate(shard):
+        windows = np.lib.stride_tricks.sliding_window_view(np.frombuffer(raw, np.uint8), length)
+        sorter.add(windows[:n], np.arange(n, dtype=np.int64) | (i << 16))
+    again, last = [], None
+    for _, tags, shared in sorter.sorted():
+        if not len(tags):
+            continue
+        same = shared >= length
+        if last is not None and same[0]:
+            again.append([last])
+        again.append(tags[same])
+        again.append(tags[:-1][same[1:]])
+        last = int(tags[-1])
+    tags = np.unique(np.concatenate(again)) if again else np.empty(0, np.int64)
+    first = np.flatnonzero(np.concatenate(([True], np.diff(tags) != 1)))  # runs of starts; segments end at gaps too
+    rows = []
+    for tag, n in zip(tags[first].tolist(), np.diff(np.append(first, len(tags))).tolist()) if len(tags) else ():
+        k1, k2, at, _, open_, _ = shard[tag >> 16]
+        if open_:
+            rows.append((k1, k2, at + (tag & 0xFFFF), n))
+    return rows
 
-    All shards of a task go through one sorter; a window holds its anchor or core, so windows
-    of different shards never agree.
-    """
+
+def sort_shards(segments: DataFrame, length: int) -> DataFrame:
+    """The repeated starts of all shards, one shard after the other; a shard beyond a block of tuples goes to disk."""
+    kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sorter = SuffixSorter(length)
-        keys: list[tuple] = []  # a short tuple per segment; the texts are on disk
+        current, shard, rows = None, [], []
         for batch in slices(batches):
-            for k1, k2, at, n, open_, raw in zip(*(batch.column(c).to_pylist() for c in ("k1", "k2", "at", "n", "open", "text"))):
-                windows = np.lib.stride_tricks.sliding_window_view(np.frombuffer(raw, np.uint8), length)
-                sorter.add(windows[:n], np.arange(n, dtype=np.int64) | (len(keys) << 16))
-                keys.append((k1, k2, at, open_))
-        again: dict[int, list[int]] = {}
-
-        def note(tags: np.ndarray) -> None:
-            for tag in tags.tolist():
-                if keys[tag >> 16][3]:
-                    again.setdefault(tag >> 16, []).append(tag & 0xFFFF)
-
-        last = None
-        for _, tags, shared in sorter.sorted():
-            if not len(tags):
-                continue
-            same = shared >= length
-            if last is not None and same[0]:
-                note(np.array([last]))
-            note(tags[same])
-            note(tags[:-1][same[1:]])
-            last = int(tags[-1])
-        rows = []
-        for i, offsets in again.items():
-            k1, k2, at, _ = keys[i]
-            offsets = np.unique(offsets)
-            first = offsets[np.concatenate(([True], np.diff(offsets) > 1))]
-            end = offsets[np.concatenate((np.diff(offsets) > 1, [True]))]
-            rows += [(k1, k2, at + a, b - a + 1) for a, b in zip(first.tolist(), end.tolist())]
-        for at in range(0, len(rows), 10_000):
-            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32())
+            columns = (batch.column(c).to_pylist() for c in ("shard", "k1", "k2", "at", "n", "open", "text"))
+            for name, *segment in zip(*columns):
+                if name != current and shard:
+                    rows += repeated_starts(shard, length)
+                    shard = []
+                current = name
+                shard.append(tuple(segment))
+            if rows:
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(list(c), k) for c, k in zip(zip(*rows), kinds)], names=["k1", "k2", "at", "n"]
+                )
+                rows = []
+        if shard:
+            rows = repeated_starts(shard, length)
+        if rows:
             yield pa.RecordBatch.from_arrays(
-                [pa.array(list(c), k) for c, k in zip(zip(*rows[at : at + 10_000]), kinds)], names=["k1", "k2", "at", "n"]
+                [pa.array(list(c), k) for c, k in zip(zip(*rows), kinds)], names=["k1", "k2", "at", "n"]
             )
 
-    return segments.repartition("shard").mapInArrow(run, "k1 long, k2 int, at int, n int")
+    return segments.repartition("shard").sortWithinPartitions("shard").mapInArrow(run, "k1 long, k2 int, at int, n int")
 
 
 def resolve(segments: DataFrame, length: int, gram: int, shard_rows: int) -> DataFrame:

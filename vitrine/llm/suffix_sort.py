@@ -30,10 +30,8 @@ def common_prefixes(rows: np.ndarray) -> np.ndarray:
 
 def _sorted(rows: np.ndarray) -> np.ndarray:
     """Order of the rows by their bytes."""
-    width = rows.shape[1]
-    padded = np.zeros((len(rows), -(-width // 8) * 8), np.uint8)
-    padded[:, :width] = rows
-    return np.lexsort(padded.view(">u8").astype(np.uint64).T[::-1])
+    whole = np.ascontiguousarray(rows).view(np.dtype((np.void, rows.shape[1]))).ravel()
+    return np.argsort(whole, kind="stable")
 
 
 class SuffixSorter:

@@ -1,19 +1,35 @@
 """The registered queries: names, and a sample of them against their SQL."""
 
 import os
+import shutil
+import subprocess
+import sys
 from collections import Counter
+from pathlib import Path
 
 import duckdb
 import pytest
 
 import __spark_entry__ as contract
+from vitrine.plans import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
 needs_data = pytest.mark.skipif(not os.path.isdir(SF), reason="benchmark tables are not here")
 
 
 def test_every_query_has_its_sql():
-    assert set(contract.queries()) == set(contract.oracle_sql())
+    assert set(QUERIES) == set(ORACLES)
+    assert set(QUERIES) <= set(contract.queries()) and set(contract.oracle_sql()) <= set(contract.queries())
+
+
+def test_registry_without_the_training_data_operators(tmp_path):
+    """A copy of the repository without them still imports and has all other queries."""
+    root = Path(contract.__file__).parent
+    shutil.copytree(root / "vitrine", tmp_path / "vitrine", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copy(root / "__spark_entry__.py", tmp_path)
+    code = "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"
+    found = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env={**os.environ, "PYTHONPATH": str(tmp_path)}, capture_output=True, text=True)
+    assert found.stdout.split() == [str(len(QUERIES)), str(len(ORACLES))], found.stderr
 
 
 @needs_data

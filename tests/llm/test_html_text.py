@@ -16,6 +16,7 @@ CASES = [
     ("", ""),
     ("<article></article>", ""),
     ("<p>cut <a href='x", "cut"),
+    ("<div class='has-sidebar wide'>yes</div><div class='left sidebar'>no</div>", "yes"),
     ("<div class='pagesMenu'>no</div><div class='address'>yes</div>", "yes"),
 ]
 

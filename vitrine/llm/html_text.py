@@ -61,7 +61,8 @@ NOISE_NAMES = frozenset(
     "recommended recommendations share sharing sidebar sidebars sitemap skip social sponsor sponsored sponsors subscribe "
     "subscription signup login toc toolbar topbar widget widgets copyright legal".split()
 )
-HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+# a name that begins so tells of a layout (has-sidebar), not of a part
+LAYOUT_WORDS = frozenset("has have is no not with without js".split())
 #: Elements that a new block of the key's kind closes, up to the nearest ancestor of the second set.
 CLOSES_P = frozenset(
     "address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
@@ -108,10 +109,10 @@ def _is_noise(tag: str, attributes: dict[str, str]) -> bool:
         return True
     if attributes.get("role", "").lower() in NOISE_ROLES:
         return True
-    for value in (attributes.get("class", ""), attributes.get("id", "")):
-        for part in _NAME_PART.findall(_CAMEL.sub(" ", value)):
-            if part.lower() in NOISE_NAMES:
-                return True
+    for name in (attributes.get("class", "") + " " + attributes.get("id", "")).split():
+        parts = [p.lower() for p in _NAME_PART.findall(_CAMEL.sub(" ", name))]
+        if parts and parts[0] not in LAYOUT_WORDS and not NOISE_NAMES.isdisjoint(parts):
+            return True
     return False
 
 

@@ -50,9 +50,9 @@ def product_by_sku(catalog: DataFrame, sku: str) -> DataFrame:
 
 def products_by_sku(requests: DataFrame, catalog: DataFrame) -> DataFrame:
     """Batch lookup: every requested sku with its first catalog row; unknown ones vanish."""
+    asked = requests.select("sku").distinct()
     rank = F.row_number().over(Window.partitionBy("sku").orderBy("ord"))
-    first = catalog.withColumn("_rank", rank).filter("_rank = 1").drop("_rank")
-    return requests.select("sku").distinct().join(first, "sku")
+    return catalog.join(asked, "sku", "left_semi").withColumn("_rank", rank).filter("_rank = 1").drop("_rank")
 
 
 def low_stock(catalog: DataFrame, threshold: int = 3) -> DataFrame:

@@ -74,6 +74,9 @@ def context_recall(gold_sources: DataFrame, mapped_hits: DataFrame) -> DataFrame
 def rubric_rollup(scores: DataFrame, rubric: DataFrame) -> DataFrame:
     """Mean rating and share of top ratings by dimension and difficulty, with subtotals.
 
+    ``level`` is 0 for a group, 1 for a dimension's subtotal and 3 for the whole, which
+    tells a subtotal from a group without a name.
+
     ``scores`` is ``(dimension, difficulty, score)``; ratings the rubric has no
     anchor for are left out.  The rubric has 15 rows.
     """
@@ -81,6 +84,7 @@ def rubric_rollup(scores: DataFrame, rubric: DataFrame) -> DataFrame:
         scores.join(F.broadcast(rubric.select("dimension", "score")), ["dimension", "score"], "left_semi")
         .rollup("dimension", "difficulty")
         .agg(
+            F.grouping_id().cast("bigint").alias("level"),
             F.count(F.lit(1)).alias("n_scores"),
             F.round(F.avg("score"), 6).alias("mean_score"),
             F.round(F.avg((F.col("score") == 5).cast("int")), 6).alias("top_share"),
@@ -89,5 +93,7 @@ def rubric_rollup(scores: DataFrame, rubric: DataFrame) -> DataFrame:
 
 
 def gold_profile(gold: DataFrame) -> DataFrame:
-    """Number of golden items by source type and difficulty, with subtotals."""
-    return gold.rollup("source_type", "difficulty").agg(F.count(F.lit(1)).alias("n_items"))
+    """Number of golden items by source type and difficulty, with subtotals (``level`` as in ``rubric_rollup``)."""
+    return gold.rollup("source_type", "difficulty").agg(
+        F.grouping_id().cast("bigint").alias("level"), F.count(F.lit(1)).alias("n_items")
+    )

@@ -111,6 +111,7 @@ QUERIES = {
     "filter_price": _filtered(lambda: P.price_up_to(930.5)),
     "filter_occasion": _filtered(lambda: P.has_occasion("brand#1")),
     "filter_in_stock": _filtered(P.in_stock),
+    "filter_sku": lambda spark, sf_dir: flat_catalog(C.check_inventory(catalog(spark, sf_dir), sku="7")),
     "check_inventory": check_inventory,
     "sku_lookup": sku_lookup,
     "low_stock": low_stock,
@@ -143,6 +144,7 @@ ORACLES = {
     ),
     "filter_size": _select("list_contains(sizes, 'XXL')"),
     "filter_color": _select("len(list_filter(colors, lambda c: contains(lower(c), 'ld'))) > 0"),
+    "filter_sku": _select(f"sku = '7' AND {STOCKED_SQL}"),
     "filter_category": _select("category = 'ECONOMY'"),
     "filter_price": _select("price_eur <= 930.5"),
     "filter_occasion": _select("len(list_filter(occasion, lambda o: contains(lower(o), 'brand#1'))) > 0"),

@@ -79,9 +79,9 @@ ORACLES = {
                CASE WHEN count(source_id) > 0 THEN round(count(hit) / count(source_id), 6) END AS recall
         FROM gold_sources LEFT JOIN found USING (question_id, source_id) GROUP BY question_id""",
     "rubric_rollup": f"""WITH {SCORES_SQL}, rubric(dimension, score) AS (VALUES {_RUBRIC_VALUES})
-        SELECT dimension, difficulty, count(*) AS n_scores, round(avg(score), 6) AS mean_score,
+        SELECT dimension, difficulty, GROUPING(dimension, difficulty) AS level, count(*) AS n_scores, round(avg(score), 6) AS mean_score,
                round(avg(CASE WHEN score = 5 THEN 1 ELSE 0 END), 6) AS top_share
         FROM scores SEMI JOIN rubric USING (dimension, score) GROUP BY ROLLUP (dimension, difficulty)""",
-    "gold_profile": f"""WITH {GOLD_SQL} SELECT source_type, difficulty, count(*) AS n_items
+    "gold_profile": f"""WITH {GOLD_SQL} SELECT source_type, difficulty, GROUPING(source_type, difficulty) AS level, count(*) AS n_items
         FROM gold GROUP BY ROLLUP (source_type, difficulty)""",
 }

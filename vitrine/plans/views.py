@@ -256,7 +256,10 @@ gold_sources AS (
 
 
 def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ratings on three rubric dimensions from the labels, with the language as difficulty."""
+    """Ratings on the five rubric dimensions from the labels, with the language as difficulty.
+
+    A document of unknown length has no rating for completeness.
+    """
     labels = table(spark, sf_dir, "labels").join(
         table(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars"), "doc_id"
     )
@@ -265,8 +268,10 @@ def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.struct(F.lit("tone").alias("dimension"), (5 - 4 * F.col("toxic")).alias("score")),
         F.struct(
             F.lit("completeness").alias("dimension"),
-            F.when(F.col("n_chars") < 500, 1).when(F.col("n_chars") < 2000, 3).otherwise(5).alias("score"),
+            F.when(F.col("n_chars") < 500, 1).when(F.col("n_chars") < 2000, 3).when(F.col("n_chars") >= 2000, 5).alias("score"),
         ),
+        F.struct(F.lit("groundedness").alias("dimension"), (3 + 2 * F.col("quality") - 2 * F.col("toxic")).alias("score")),
+        F.struct(F.lit("helpfulness").alias("dimension"), (1 + 2 * F.col("quality") + 2 * (1 - F.col("toxic"))).alias("score")),
     )
     return labels.select(F.col("lang").alias("difficulty"), F.explode(rated).alias("r")).select(
         "difficulty", "r.dimension", F.col("r.score").cast("int").alias("score")
@@ -277,5 +282,7 @@ SCORES_SQL = """
 scores AS (
   SELECT lang AS difficulty, 'correctness' AS dimension, 1 + 4 * quality AS score FROM labels JOIN documents USING (doc_id)
   UNION ALL SELECT lang, 'tone', 5 - 4 * toxic FROM labels JOIN documents USING (doc_id)
-  UNION ALL SELECT lang, 'completeness', CASE WHEN n_chars < 500 THEN 1 WHEN n_chars < 2000 THEN 3 ELSE 5 END
+  UNION ALL SELECT lang, 'groundedness', 3 + 2 * quality - 2 * toxic FROM labels JOIN documents USING (doc_id)
+  UNION ALL SELECT lang, 'helpfulness', 1 + 2 * quality + 2 * (1 - toxic) FROM labels JOIN documents USING (doc_id)
+  UNION ALL SELECT lang, 'completeness', CASE WHEN n_chars < 500 THEN 1 WHEN n_chars < 2000 THEN 3 WHEN n_chars >= 2000 THEN 5 END
   FROM labels JOIN documents USING (doc_id))"""

@@ -8,9 +8,10 @@ candidate pair is linked if its alignment needs at most ``(1 - similarity) * max
 edits of words, found by furthest-reaching points in a band of that many diagonals.  Classes
 are the connected components of the links.
 
-Equal word sequences are one node of the graph; copies are never paired.  In a bucket of up
-to ``PAIRED`` nodes all pairs are candidates.  In a larger one every node is compared with a
-leader; where that leaves several classes, the bucket's nodes meet again in finer buckets of
+Equal word sequences are one node of the graph; copies are never paired.  In every bucket
+each node is compared with the bucket's leader first.  In a bucket of up to ``PAIRED`` nodes
+all pairs that are not in one class by then are compared too (a pair within a class would
+change nothing).  Where a larger bucket is left with several classes, the bucket's nodes meet again in finer buckets of
 one more sketch each (``DEPTH`` sketches in all), one node for each class, so a bucket of dissimilar texts that only
 share a common passage falls apart instead of being paired whole.
 
@@ -123,24 +124,38 @@ def _similar_lengths(a: str, b: str, similarity: float):
     return F.least(a, b) >= F.lit(similarity) * F.greatest(a, b)
 
 
-def candidates(members: DataFrame, similarity: float, paired: int = PAIRED) -> tuple[DataFrame, DataFrame]:
-    """Candidate pairs (a, b) of (bucket, node, n_words) rows, and the rows of the buckets that were not paired whole."""
+def crowds(members: DataFrame) -> DataFrame:
+    """The (bucket, node, n_words) rows of buckets with company, with the bucket's size ``n`` and its leader."""
     groups = members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
     met = materialise(members.join(groups, "bucket"), "met")
-    small = met.where(F.col("n") <= paired).select("bucket", "node", "n_words")
-    other = small.select("bucket", F.col("node").alias("b"), F.col("n_words").alias("nb"))
-    whole = (
+    # the least node leads, so that a group of copies has one leader in all of its buckets
+    leads = met.groupBy("bucket").agg(F.min(F.struct("node", "n_words")).alias("lead"))
+    return materialise(met.join(leads, "bucket"), "led")
+
+
+def led_pairs(met: DataFrame, similarity: float) -> DataFrame:
+    """Candidate pairs (a, b) of each node and its bucket's leader."""
+    return (
+        met.where((F.col("node") != F.col("lead.node")) & _similar_lengths("n_words", "lead.n_words", similarity))
+        .select(F.col("lead.node").alias("a"), F.col("node").alias("b"))
+        .distinct()
+    )
+
+
+def remaining_pairs(met: DataFrame, labels: DataFrame, similarity: float, paired: int = PAIRED) -> DataFrame:
+    """All pairs (a, b) of small buckets that are in different classes so far."""
+    small = (
+        met.where(F.col("n") <= paired)
+        .join(labels, "node", "left")
+        .select("bucket", "node", "n_words", F.coalesce("component", "node").alias("class"))
+    )
+    other = small.select("bucket", F.col("node").alias("b"), F.col("n_words").alias("nb"), F.col("class").alias("other"))
+    return (
         small.join(other, "bucket")
-        .where((F.col("node") < F.col("b")) & _similar_lengths("n_words", "nb", similarity))
+        .where((F.col("node") < F.col("b")) & (F.col("class") != F.col("other")) & _similar_lengths("n_words", "nb", similarity))
         .select(F.col("node").alias("a"), "b")
+        .distinct()
     )
-    crowded = met.where(F.col("n") > paired)
-    leads = crowded.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("bucket", "node").alias("h"), "node", "n_words")).alias("lead"))
-    large = crowded.join(leads, "bucket")
-    star = large.where(
-        (F.col("node") != F.col("lead.node")) & _similar_lengths("n_words", "lead.n_words", similarity)
-    ).select(F.least("node", "lead.node").alias("a"), F.greatest("node", "lead.node").alias("b"))
-    return whole.union(star).distinct(), large.select("bucket", "node", "n_words")
 
 
 def edit_distance_within(a: np.ndarray, b: np.ndarray, most: int) -> int | None:
@@ -270,18 +285,27 @@ def classes(
     nodes = materialise(nodes, "nodes")
     members = nodes.select("node", "n_words", F.explode("sketches").alias("bucket"))
     links, known, labels = None, None, None
-    for depth in range(DEPTH):
-        pairs, unpaired = candidates(members, similarity)
+
+    def compare(pairs: DataFrame) -> None:
+        """Verifies pairs not compared before and brings the classes up to date."""
+        nonlocal links, known, labels
         if known is not None:
             pairs = pairs.join(known, ["a", "b"], "left_anti")
         pairs = materialise(pairs, "pairs")
+        known = pairs if known is None else known.union(pairs)
         ends = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
         carriers = ends.join(nodes.select("node", "id"), "node")
         words = materialise(words_of_nodes(docs, carriers, key, text), "words")
         found = materialise(verified(pairs, words, similarity), "verified")
-        links = found if links is None else links.union(found)
-        known = pairs if known is None else known.union(pairs)
-        labels = components(links)
+        if links is None or found.limit(1).count():
+            links = found if links is None else links.union(found)
+            labels = components(links)
+
+    for depth in range(DEPTH):
+        met = crowds(members)
+        compare(led_pairs(met, similarity))
+        compare(remaining_pairs(met, labels, similarity))
+        unpaired = met.where(F.col("n") > PAIRED).select("bucket", "node", "n_words")
         if depth + 1 == DEPTH:
             break
         # buckets with a leader whose nodes are still in several classes

@@ -57,6 +57,8 @@ def test_bpe_memo_is_no_limit(words, reference, monkeypatch):
 
 
 def test_bpe_round_trip(odd_docs, clashing, no_docs, words, reference):
+    both = bpe.encode(odd_docs, words, decoded="back").collect()
+    assert all(bytes(r.back).decode() == (r.text or "") for r in both)
     for docs in (odd_docs, clashing):
         rows = bpe.decode(bpe.encode(docs, words), words).collect()
         assert len(rows) == docs.count()

@@ -31,7 +31,7 @@ from pyspark.sql import types as T
 from vitrine.llm.common import slices
 
 #: Entries in each generation of a worker's memos of cuttings, pieces and token pairs.
-MEMO = 80_000
+MEMO = 60_000
 _NEVER = 1 << 40
 _SPACES = re.compile(r" \s")
 _CUT = re.compile(r"(?= \S)")
@@ -229,17 +229,28 @@ def _share(df: DataFrame, words: Vocabulary) -> _Shared:
     return _Shared(broadcast, broadcast._jbroadcast.id())
 
 
-def encode(docs: DataFrame, words: Vocabulary, text: str = "text", ids: str = "ids") -> DataFrame:
-    """Every row with the binary column ``ids``: little-endian unsigned 32-bit integers."""
-    docs = docs.drop(ids)
-    shared, schema = _share(docs, words), T.StructType([*docs.schema.fields, T.StructField(ids, T.BinaryType(), False)])
+def decode_ids(ids: bytes | None, words: Vocabulary) -> bytes:
+    """The bytes that packed ids stand for."""
+    return b"".join(map(words.bytes_of.__getitem__, np.frombuffer(ids or b"", "<u4").tolist()))
+
+
+def encode(docs: DataFrame, words: Vocabulary, text: str = "text", ids: str = "ids", decoded: str | None = None) -> DataFrame:
+    """Every row with the binary column ``ids``: little-endian unsigned 32-bit integers.
+
+    With ``decoded`` the ids are decoded in the same pass, into that column, as ``decode`` would.
+    """
+    added = [ids] if decoded is None else [ids, decoded]
+    docs = docs.drop(*added)
+    shared = _share(docs, words)
+    schema = T.StructType([*docs.schema.fields, *[T.StructField(name, T.BinaryType(), False) for name in added]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(shared)
         for batch in slices(batches):
             packed = [encoder.packed(x or "") for x in batch.column(text).to_pylist()]
+            found = [packed] if decoded is None else [packed, [decode_ids(x, encoder.v) for x in packed]]
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(packed, pa.binary())], names=[*batch.schema.names, ids]
+                [*batch.columns, *[pa.array(x, pa.binary()) for x in found]], names=[*batch.schema.names, *added]
             )
         encoder.rest()
 
@@ -253,9 +264,9 @@ def decode(rows: DataFrame, words: Vocabulary, ids: str = "ids", decoded: str =
     schema = T.StructType([*rows.schema.fields, T.StructField(decoded, T.BinaryType(), False)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of = shared.value.bytes_of.__getitem__
+        known = shared.value
         for batch in slices(batches):
-            texts = [b"".join(map(of, np.frombuffer(x or b"", "<u4").tolist())) for x in batch.column(ids).to_pylist()]
+            texts = [decode_ids(x, known) for x in batch.column(ids).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array(texts, pa.binary())], names=[*batch.schema.names, decoded]
             )

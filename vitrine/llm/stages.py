@@ -56,7 +56,7 @@ def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of every text, and whether they decode to it: (doc_id, lang, source, n_chars, n_tokens, ids, exact)."""
     small_batches(spark)
     words = bpe.vocabulary(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
-    decoded = bpe.decode(bpe.encode(docs.select(*COLUMNS), words), words)
+    decoded = bpe.encode(docs.select(*COLUMNS), words, decoded="decoded")
     return decoded.select(
         "doc_id",
         "lang",

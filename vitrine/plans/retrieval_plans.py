@@ -11,7 +11,7 @@ from vitrine.session import input_state, materialise, still_stored
 
 K = 3
 # where the fusion begins to read; it goes on as deep as each question needs
-FUSED_DEPTH = 10
+FUSED_DEPTH = 50
 
 
 def _vectors(spark, sf_dir):

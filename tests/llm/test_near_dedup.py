@@ -86,6 +86,15 @@ def test_odd_rows(spark, odd_docs, odd_rows, clashing, no_docs):
     assert N.without_near_copies(again).count() == 1
 
 
+def test_rows_with_null_or_repeated_ids_stay(spark):
+    text = prose(700, 60)
+    rows = [(1, text), (None, edited(text, 1, 0.02)), *[(None, prose(710 + i, 60)) for i in range(4)]]
+    rows += [(8, prose(720, 60)), (8, prose(721, 60)), (8, edited(text, 2, 0.02)), (9, prose(722, 60)), (9, prose(722, 60))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = sorted((str(r.doc_id), r.text) for r in N.without_near_copies(docs).collect())
+    assert kept == sorted((str(i), t) for i, t in [rows[0], *rows[2:8], rows[9]])
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 30)] + [(7, 7)]
     got = {r.node: r.component for r in components(spark.createDataFrame(chain, "a long, b long")).collect()}

@@ -94,8 +94,13 @@ def order_sketches(words: np.ndarray, sketches: int = SKETCHES) -> np.ndarray:
         return mix(mix(shingles[place[:, 0]] + _ORDER) + shingles[place[:, 1]] + seed[:, 0])
 
 
+def text_digest(text: str):
+    """With the id, what tells a row from others; rows with both alike are copies."""
+    return F.sha2(F.coalesce(F.col(text), F.lit("")), 256)
+
+
 def signatures(docs: DataFrame, key: str = "doc_id", text: str = "text", sketches: int = SKETCHES) -> DataFrame:
-    """(id, node, n_words, sketches) of every row."""
+    """(id, own, node, n_words, sketches) of every row; ``own`` digests its text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -109,15 +114,16 @@ def signatures(docs: DataFrame, key: str = "doc_id", text: str = "text", sketche
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("id"),
+                    batch.column("own"),
                     pa.array(nodes, pa.binary()),
                     pa.array(counts, pa.int32()),
                     pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found))),
                 ],
-                names=["id", "node", "n_words", "sketches"],
+                names=["id", "own", "node", "n_words", "sketches"],
             )
 
-    rows = docs.select(F.col(key).cast("long").alias("id"), text)
-    return rows.mapInArrow(run, "id long, node binary, n_words int, sketches array<long>")
+    rows = docs.select(F.col(key).cast("long").alias("id"), text_digest(text).alias("own"), text)
+    return rows.mapInArrow(run, "id long, own string, node binary, n_words int, sketches array<long>")
 
 
 def _similar_lengths(a: str, b: str, similarity: float):
@@ -280,6 +286,15 @@ def classes(
     docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, sketches: int = SKETCHES
 ) -> DataFrame:
     """(doc_id, class_id) of every row; ``doc_id`` by the name of ``key``."""
+    placed = placed_rows(docs, key, text, similarity, sketches)
+    least = placed.groupBy("class").agg(F.min("id").alias("class_id"))
+    return placed.join(least, "class").select(F.col("id").alias(key), "class_id")
+
+
+def placed_rows(
+    docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, sketches: int = SKETCHES
+) -> DataFrame:
+    """(id, own, class) of every row."""
     rows = materialise(signatures(docs, key, text, sketches), "signatures")
     nodes = rows.groupBy("node").agg(F.min("id").alias("id"), F.first("n_words").alias("n_words"), F.first("sketches").alias("sketches"))
     nodes = materialise(nodes, "nodes")
@@ -328,15 +343,19 @@ def classes(
         members = materialise(met.select("m.node", "m.n_words", "bucket"), "members")
         if not members.limit(1).count():
             break
-    placed = rows.select("id", "node").join(labels, "node", "left").select("id", F.coalesce("component", "node").alias("class"))
-    least = placed.groupBy("class").agg(F.min("id").alias("class_id"))
-    return placed.join(least, "class").select(F.col("id").alias(key), "class_id")
+    return rows.select("id", "own", "node").join(labels, "node", "left").select("id", "own", F.coalesce("component", "node").alias("class"))
 
 
 def without_near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """One row of every class: that of the least id, and one of those with equal ids."""
-    found = materialise(classes(docs, key, text, **options), "classes")
-    gone = found.where(~F.col(key).eqNullSafe(F.col("class_id"))).select(F.col(key).alias("_gone"))
-    kept = docs.join(gone, F.col(key).cast("long").eqNullSafe(F.col("_gone")), "left_anti")
-    repeated = found.groupBy(key).count().where("count > 1").limit(1).count()
-    return kept.dropDuplicates([key]) if repeated else kept
+    """One row of every class: that of the least id (null last), then of the least digest, and one of equal rows."""
+    placed = materialise(placed_rows(docs, key, text, **options), "classes")
+    first = placed.groupBy("class").agg(F.min(F.struct(F.col("id").isNull(), "id", "own")).alias("first"))
+    stays = F.col("id").eqNullSafe(F.col("first.id")) & (F.col("own") == F.col("first.own"))
+    gone = placed.join(first, "class").where(~stays).select(F.col("id").alias("_gone"), F.col("own").alias("_gone_own")).distinct()
+    row, digest = F.col(key).cast("long"), text_digest(text)
+    kept = docs.join(gone, row.eqNullSafe(F.col("_gone")) & (digest == F.col("_gone_own")), "left_anti")
+    repeated = placed.groupBy("id", "own").count().where("count > 1").limit(1).count()
+    if not repeated:
+        return kept
+    names = [f"_same{i}_{'_'.join(docs.columns)}" for i in range(2)]  # no column's name
+    return kept.withColumn(names[0], row).withColumn(names[1], digest).dropDuplicates(names).drop(*names)

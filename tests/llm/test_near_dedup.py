@@ -86,6 +86,41 @@ def test_odd_rows(spark, odd_docs, odd_rows, clashing, no_docs):
     assert N.without_near_copies(again).count() == 1
 
 
+def test_bags_bound_edits():
+    draw = np.random.default_rng(5)
+    texts = [draw.integers(0, 40, draw.integers(1, 30)).astype(np.uint64) for _ in range(25)]
+    bags = np.stack([np.frombuffer(N.bag_of(t), np.uint8) for t in texts])
+    least = N.least_edits(bags, bags)
+    assert all(least[i, j] <= distance(a.tolist(), b.tolist()) for i, a in enumerate(texts) for j, b in enumerate(texts))
+
+
+def test_many_edited_copies_of_one_text(spark):
+    original = prose(800, 150)
+    rows = [(0, original)]
+    for i in range(1, 1001):  # each 0.87 like the original, about 0.76 like another
+        words, draw = original.split(), random.Random(i)
+        for at in draw.sample(range(150), 20):
+            words[at] = f"z{i}y{at}"
+        rows.append((i, " ".join(words)))
+    got, n = classes_of(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    # sketches are samples: a few copies may share no bucket with a text similar to them
+    assert n == 1001 and list(got.values()).count(0) >= 900
+
+
+def test_pairs_inside_a_template(spark):
+    draw = random.Random(3)
+    frame = [f"t{i}" for i in range(100)]
+    rows = []
+    for g in range(60):  # 60 pairs of near copies, all in one template of two thirds of the words
+        words = [w for i, x in enumerate(frame) for w in ([x, f"g{g}w{i}"] if i % 2 else [x])]
+        other = list(words)
+        for at in draw.sample(range(150), 6):
+            other[at] = f"e{g}x{at}"
+        rows += [(2 * g, " ".join(frame[:40] + words)), (2 * g + 1, " ".join(frame[:40] + other))]
+    got, _ = classes_of(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    assert got == {i: i - i % 2 for i in range(120)}
+
+
 def test_rows_with_null_or_repeated_ids_stay(spark):
     text = prose(700, 60)
     rows = [(1, text), (None, edited(text, 1, 0.02)), *[(None, prose(710 + i, 60)) for i in range(4)]]

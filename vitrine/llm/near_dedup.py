@@ -11,9 +11,12 @@ are the connected components of the links.
 Equal word sequences are one node of the graph; copies are never paired.  In every bucket
 each node is compared with the bucket's leader first.  In a bucket of up to ``PAIRED`` nodes
 all pairs that are not in one class by then are compared too (a pair within a class would
-change nothing).  Where a larger bucket is left with several classes, the bucket's nodes meet again in finer buckets of
-one more sketch each (``DEPTH`` sketches in all), one node for each class, so a bucket of dissimilar texts that only
-share a common passage falls apart instead of being paired whole.
+change nothing).  In a larger bucket that still holds several classes, the node with the most
+links so far (a hub) is compared with all others of the bucket, up to ``HUBS`` times and while
+that links anything; this only saves work.  Then all its pairs of different classes are gone
+through: nodes are dealt into blocks of about ``BLOCK`` by hash, every two blocks of a bucket
+meet in a row of their own, and pairs whose counts of words (``BAG`` counters by hash) alone
+need more edits than allowed are left out before anything is aligned.  That bound is exact.
 
 A text without words is a node by its exact content; null counts as empty.  Texts under five
 words have one shingle, the whole of them.  The class id is the least document id in the class
@@ -37,7 +40,9 @@ SHINGLE = 5
 SIMILARITY = 0.8
 SKETCHES = 48
 PAIRED = 16
-DEPTH = 2
+HUBS = 2
+BLOCK = 64
+BAG = 256
 _SEEDS = mix(np.arange(1, 2 * SKETCHES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _ORDER = np.uint64(0xA0761D6478BD642F)
 _COLUMNS = 1 << 14
@@ -94,21 +99,27 @@ def order_sketches(words: np.ndarray, sketches: int = SKETCHES) -> np.ndarray:
         return mix(mix(shingles[place[:, 0]] + _ORDER) + shingles[place[:, 1]] + seed[:, 0])
 
 
+def bag_of(words: np.ndarray) -> bytes:
+    """Counts of words by hash, up to 255 each."""
+    return np.minimum(np.bincount((words & np.uint64(BAG - 1)).astype(np.int64), minlength=BAG), 255).astype(np.uint8).tobytes()
+
+
 def text_digest(text: str):
     """With the id, what tells a row from others; rows with both alike are copies."""
     return F.sha2(F.coalesce(F.col(text), F.lit("")), 256)
 
 
 def signatures(docs: DataFrame, key: str = "doc_id", text: str = "text", sketches: int = SKETCHES) -> DataFrame:
-    """(id, own, node, n_words, sketches) of every row; ``own`` digests its text."""
+    """(id, own, node, n_words, bag, sketches) of every row; ``own`` digests its text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            nodes, counts, found = [], [], []
+            nodes, counts, bags, found = [], [], [], []
             for raw in utf8_rows(batch.column(text)):
                 words = word_hashes(raw)[2]
                 nodes.append(text_key(raw, words))
                 counts.append(len(words))
+                bags.append(bag_of(words))
                 found.append(order_sketches(words, sketches).view(np.int64) if len(words) else np.empty(0, np.int64))
             ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
@@ -117,13 +128,14 @@ def signatures(docs: DataFrame, key: str = "doc_id", text: str = "text", sketche
                     batch.column("own"),
                     pa.array(nodes, pa.binary()),
                     pa.array(counts, pa.int32()),
+                    pa.array(bags, pa.binary()),
                     pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found))),
                 ],
-                names=["id", "own", "node", "n_words", "sketches"],
+                names=["id", "own", "node", "n_words", "bag", "sketches"],
             )
 
     rows = docs.select(F.col(key).cast("long").alias("id"), text_digest(text).alias("own"), text)
-    return rows.mapInArrow(run, "id long, own string, node binary, n_words int, sketches array<long>")
+    return rows.mapInArrow(run, "id long, own string, node binary, n_words int, bag binary, sketches array<long>")
 
 
 def _similar_lengths(a: str, b: str, similarity: float):
@@ -143,7 +155,7 @@ def led_pairs(met: DataFrame, similarity: float) -> DataFrame:
     """Candidate pairs (a, b) of each node and its bucket's leader."""
     return (
         met.where((F.col("node") != F.col("lead.node")) & _similar_lengths("n_words", "lead.n_words", similarity))
-        .select(F.col("lead.node").alias("a"), F.col("node").alias("b"))
+        .select(F.col("lead.node").alias("a"), F.col("node").alias("b"))  # the leader is the lesser
         .distinct()
     )
 
@@ -164,6 +176,79 @@ def remaining_pairs(met: DataFrame, labels: DataFrame, similarity: float, paired
     )
 
 
+def mixed(met: DataFrame, labels: DataFrame) -> DataFrame:
+    """(bucket, n, node, n_words, class) of the larger buckets that still hold several classes."""
+    placed = met.join(labels, "node", "left").select("bucket", "n", "node", "n_words", F.coalesce("component", "node").alias("class"))
+    several = placed.groupBy("bucket").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low != high")
+    return materialise(placed.join(several.select("bucket"), "bucket"), "mixed")
+
+
+def hubs(left: DataFrame, links: DataFrame, asked: DataFrame) -> DataFrame:
+    """(bucket, hub): the node of each bucket with the most links, among those not asked before."""
+    ends = links.select(F.col("a").alias("node")).union(links.select(F.col("b").alias("node")))
+    degrees = ends.groupBy("node").agg(F.count("*").alias("degree"))
+    open_ = left.join(degrees, "node").join(asked, ["bucket", "node"], "left_anti")
+    best = open_.groupBy("bucket").agg(F.max(F.struct("degree", "node", "n_words", "class")).alias("hub"))
+    return materialise(best, "hubs")
+
+
+def hub_pairs(left: DataFrame, best: DataFrame, similarity: float) -> DataFrame:
+    """Candidate pairs (a, b) of each node and its bucket's hub, where they are in different classes."""
+    return (
+        left.join(best, "bucket")
+        .where((F.col("class") != F.col("hub.class")) & _similar_lengths("n_words", "hub.n_words", similarity))
+        .select(F.least("hub.node", "node").alias("a"), F.greatest("hub.node", "node").alias("b"))
+        .distinct()
+    )
+
+
+def least_edits(bags: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """Edits that every two texts need at least, by their bags."""
+    apart = (np.maximum(bags[:, None], others[None]) - np.minimum(bags[:, None], others[None])).sum(2, dtype=np.int64)
+    extra = np.abs(bags.sum(1, dtype=np.int64)[:, None] - others.sum(1, dtype=np.int64)[None])
+    return (apart + extra) // 2  # words that one lacks, or the other: whichever are more
+
+
+def block_pairs(left: DataFrame, bags: DataFrame, similarity: float, size: int = BLOCK) -> DataFrame:
+    """All pairs (a, b) of different classes in a bucket that their lengths and bags (node, bag) leave possible."""
+    blocks = F.ceil(F.col("n") / size).cast("int")
+    dealt = (
+        left.join(bags, "node")
+        .withColumn("block", F.pmod(F.xxhash64("node"), blocks).cast("int"))
+        .groupBy("bucket", "block")
+        .agg(F.max(blocks).alias("blocks"), F.collect_list(F.struct("node", "n_words", "class", "bag")).alias("nodes"))
+    )
+    dealt = materialise(dealt, "blocks")
+    # every two blocks of a bucket, and each with itself, have a key of their own
+    here = dealt.select("bucket", F.col("block").alias("i"), F.explode(F.expr("sequence(block, blocks - 1)")).alias("j"), "nodes")
+    there = dealt.select("bucket", F.explode(F.expr("sequence(0, block)")).alias("i"), F.col("block").alias("j"), F.col("nodes").alias("others"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def block(rows):
+            nodes, bags = rows.field("node").to_pylist(), rows.field("bag").to_pylist()
+            counts = np.frombuffer(b"".join(bags), np.uint8).reshape(len(nodes), BAG)
+            return nodes, rows.field("n_words").to_numpy().astype(np.int64), rows.field("class").to_pylist(), counts
+
+        for batch in slices(batches, 16):
+            first, second = [], []
+            for mine, theirs in zip(batch.column("nodes"), batch.column("others")):
+                a, la, ca, bag_a = block(mine.values)
+                b, lb, cb, bag_b = block(theirs.values)
+                number = {c: k for k, c in enumerate({*ca, *cb})}
+                ka, kb = np.array([number[c] for c in ca]), np.array([number[c] for c in cb])
+                longest = np.maximum(la[:, None], lb[None])
+                most = ((1 - similarity) * longest + 1e-9).astype(np.int64)
+                apart = (ka[:, None] != kb[None]) & (np.abs(la[:, None] - lb[None]) <= most)
+                if apart.any():
+                    for i, j in np.argwhere(apart & (least_edits(bag_a, bag_b) <= most)).tolist():
+                        first.append(min(a[i], b[j]))
+                        second.append(max(a[i], b[j]))
+            yield pa.RecordBatch.from_arrays([pa.array(first, pa.binary()), pa.array(second, pa.binary())], names=["a", "b"])
+
+    met = here.join(there, ["bucket", "i", "j"]).select("nodes", "others")
+    return met.mapInArrow(run, "a binary, b binary").distinct()
+
+
 def edit_distance_within(a: np.ndarray, b: np.ndarray, most: int) -> int | None:
     """Edit distance of two sequences, or None beyond ``most``."""
     n = min(len(a), len(b))
@@ -296,13 +381,15 @@ def placed_rows(
 ) -> DataFrame:
     """(id, own, class) of every row."""
     rows = materialise(signatures(docs, key, text, sketches), "signatures")
-    nodes = rows.groupBy("node").agg(F.min("id").alias("id"), F.first("n_words").alias("n_words"), F.first("sketches").alias("sketches"))
+    nodes = rows.groupBy("node").agg(
+        F.min("id").alias("id"), F.first("n_words").alias("n_words"), F.first("bag").alias("bag"), F.first("sketches").alias("sketches")
+    )
     nodes = materialise(nodes, "nodes")
     members = nodes.select("node", "n_words", F.explode("sketches").alias("bucket"))
     links, known, labels = None, None, None
 
-    def compare(pairs: DataFrame) -> None:
-        """Verifies pairs not compared before and brings the classes up to date."""
+    def compare(pairs: DataFrame) -> bool:
+        """Verifies pairs not compared before and brings the classes up to date; whether a link was found."""
         nonlocal links, known, labels
         if known is not None:
             pairs = pairs.join(known, ["a", "b"], "left_anti")
@@ -312,37 +399,25 @@ def placed_rows(
         carriers = ends.join(nodes.select("node", "id"), "node")
         words = materialise(words_of_nodes(docs, carriers, key, text), "words")
         found = materialise(verified(pairs, words, similarity), "verified")
-        if links is None or found.limit(1).count():
+        new = found.limit(1).count() > 0
+        if links is None or new:
             links = found if links is None else links.union(found)
             labels = components(links)
-
-    for depth in range(DEPTH):
-        met = crowds(members)
-        compare(led_pairs(met, similarity))
-        compare(remaining_pairs(met, labels, similarity))
-        unpaired = met.where(F.col("n") > PAIRED).select("bucket", "node", "n_words")
-        if depth + 1 == DEPTH:
-            break
-        # buckets with a leader whose nodes are still in several classes
-        mixed = (
-            unpaired.join(labels, "node", "left")
-            .withColumn("component", F.coalesce("component", "node"))
-            .groupBy("bucket")
-            .agg(F.min("component").alias("low"), F.max("component").alias("high"))
-            .where("low != high")
-            .select("bucket")
-        )
-        again = unpaired.join(mixed, "bucket").join(labels, "node", "left").join(nodes.select("node", "sketches"), "node")
-        finer = again.select(
-            F.coalesce("component", "node").alias("class"), "node", "n_words", "bucket", F.explode("sketches").alias("sketch")
-        ).where("bucket < sketch")
-        # one node stands for its class in a finer bucket; the others of the class need no link to it
-        met = finer.groupBy(F.xxhash64("bucket", "sketch").alias("bucket"), "class").agg(
-            F.min(F.struct("node", "n_words")).alias("m")
-        )
-        members = materialise(met.select("m.node", "m.n_words", "bucket"), "members")
-        if not members.limit(1).count():
+        return new
+
+    met = crowds(members)
+    compare(led_pairs(met, similarity))
+    compare(remaining_pairs(met, labels, similarity))
+    left = mixed(met.where(F.col("n") > PAIRED), labels)
+    asked = met.select("bucket", F.col("lead.node").alias("node"))
+    for _ in range(HUBS):
+        best = hubs(left, links, asked)
+        if not best.limit(1).count() or not compare(hub_pairs(left, best, similarity)):
             break
+        asked = asked.union(best.select("bucket", "hub.node"))
+        left = mixed(left.drop("class"), labels)
+    if left.limit(1).count():
+        compare(block_pairs(left, nodes.select("node", "bag"), similarity))
     return rows.select("id", "own", "node").join(labels, "node", "left").select("id", "own", F.coalesce("component", "node").alias("class"))
 
 

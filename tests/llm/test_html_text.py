@@ -41,3 +41,18 @@ def test_odd_rows(spark):
     got = sorted((str(r.page_id), r.text[:3], r.n_chars) for r in extract(pages).collect())
     assert got == [("1", "", 0), ("1", "", 0), ("3", "", 0), ("4", "éw ", 100_000), ("None", "a", 1)]
     assert extract(pages.where("page_id = 77")).count() == 0
+
+
+def extracted(spark, sources):
+    rows = [(i, f"http://h.example/{i}", s) for i, s in enumerate(sources)]
+    return {r.page_id: r.text for r in extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+
+
+def test_wrapper_does_not_take_its_text_along(spark):
+    got = extracted(spark, [f"<div id=wrap>Welcome<div class=c>own words {i}</div><div class=r>same</div></div>" for i in range(20)])
+    assert got == {i: f"Welcome own words {i}" for i in range(20)}
+
+
+def test_copies_count_once(spark):
+    got = extracted(spark, [f"<div class=c>words {max(i, 90)}</div>" for i in range(100)])
+    assert got == {i: f"words {max(i, 90)}" for i in range(100)}

@@ -7,20 +7,21 @@ and its content are the text blocks at it.  With m pages holding a node, its imp
 * presentation: the entropy of its presentations to base m (1 for a node on one page);
 * content: the share of its blocks' entropy in the entropy that all-different blocks would have;
 
-and the greater of the two stands for a leaf, so a branch that shows every reader the same
-thing, page after page, has low importance.  Branches under ``threshold`` on hosts with
-``min_pages`` pages or more are removed from every page.  Statistics are grouped per host and
-node with partial sums, so a host with a third of all pages is no hot task.
+and the greater of the two stands for a node, so a node that shows every reader the same
+thing, page after page, has low importance.  A branch has the greatest importance in it, that of
+a node or of any node below.  Branches under ``threshold`` all of whose nodes are on
+``min_pages`` pages or more are removed from every page, whole, but not from those
+with an ``article`` or ``main`` element.  Pages of a host with the same content count as one.  Statistics are
+grouped per host and node with partial sums, so a host with a third of all pages is no hot task.
 
 The tree cannot tell a fresh menu or advert from an article, as both differ from page to page;
-elements whose tag, role, class or id names such a part are therefore removed first, and the
-content of an ``article`` or ``main`` element, where a page has one, is never judged by the
-tree.  Text outside it is dropped.
+elements whose tag, role, class or id names such a part are therefore removed first.  Where a
+page has an ``article`` or ``main`` element, text outside it is dropped.
 
 Character references are decoded, white space inside a block becomes one space, blocks are
-joined in page order by one space.  Null and empty pages have empty text.  Repeated pages
-count as pages.  Unclosed elements end with their parent.  The input's columns are kept; one
-named ``text``, ``n_chars`` or as a helper is replaced.
+joined in page order by one space.  Null and empty pages have empty text.  Unclosed elements end
+with their parent.  The input's columns are kept; one named ``text``, ``n_chars`` or as a helper
+is replaced.
 """
 
 from __future__ import annotations
@@ -34,6 +35,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql import types as T
 
 from vitrine.llm.common import slices
+from vitrine.session import materialise
 
 THRESHOLD = 0.3
 MIN_PAGES = 5
@@ -223,16 +225,12 @@ class Page:
             if lowest:
                 close_to(lowest)
 
-    def judged(self) -> bool:
-        return not self.has_main
-
     def text(self, removed: frozenset[str] = frozenset()) -> str:
-        """The main text; blocks at or under a removed node are left out on pages without a main part."""
+        """The main text; blocks at or under a removed node are left out, and those outside a main part, where there is one."""
+        blocks = [(node, t) for node, t, main in self.blocks if main or not self.has_main]
         if self.has_main:
-            return " ".join(t for _, t, main in self.blocks if main)
-        if not removed:
-            return " ".join(t for _, t, _ in self.blocks)
-        return " ".join(t for node, t, _ in self.blocks if not _under(node, removed))
+            return " ".join(t for _, t in blocks)
+        return " ".join(t for node, t in blocks if not removed or not _under(node, removed))
 
 
 def _under(node: str, removed: frozenset[str]) -> bool:
@@ -249,9 +247,10 @@ def host_of(url: str):
 
 
 def style_nodes(pages: DataFrame, html: str = "html") -> DataFrame:
-    """(host, node, look, content) of the nodes of pages that the tree has to judge, one row per node and page.
+    """(host, page, node, look, content) of the nodes of all pages, one row per node and page of its own content.
 
-    ``look`` digests the node's child elements, ``content`` the blocks at the node.
+    ``page`` digests the blocks of the page's main part with their nodes, ``look`` the node's child elements, ``content`` the
+    blocks at the node.
     """
     import hashlib
 
@@ -263,20 +262,25 @@ def style_nodes(pages: DataFrame, html: str = "html") -> DataFrame:
             rows = []
             for host, source in zip(batch.column("_host").to_pylist(), batch.column(html).to_pylist()):
                 page = Page(source or "")
-                if not page.judged():
+                if page.has_main:
                     continue
+                own = digest([part for node, text, main in page.blocks if main or not page.has_main for part in (node, text)])
                 texts: dict[str, list[str]] = {}
                 for node, text, _ in page.blocks:
                     texts.setdefault(node, []).append(text)
                 for node in {*page.children, *texts}:
-                    rows.append((host, node, digest(page.children.get(node, [])), digest(texts.get(node, [])), node in texts))
+                    rows.append((host, own, node, digest(page.children.get(node, [])), digest(texts.get(node, [])), node in texts))
             if rows:
-                kinds = (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.bool_())
+                kinds = (pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.bool_())
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(list(c), k) for c, k in zip(zip(*rows), kinds)], names=["host", "node", "look", "content", "has_text"]
+                    [pa.array(list(c), k) for c, k in zip(zip(*rows), kinds)], names=["host", "page", "node", "look", "content", "has_text"]
                 )
 
-    return pages.select("_host", html).mapInArrow(run, "host string, node string, look long, content long, has_text boolean")
+    rows = pages.select("_host", html).mapInArrow(
+        run, "host string, page long, node string, look long, content long, has_text boolean"
+    )
+    # pages of the same text that differ in empty elements are one page, that of the least look
+    return rows.groupBy("host", "page", "node", "content", "has_text").agg(F.min("look").alias("look"))
 
 
 def importance(nodes: DataFrame) -> DataFrame:
@@ -300,8 +304,14 @@ def importance(nodes: DataFrame) -> DataFrame:
 
 
 def removable(nodes: DataFrame, threshold: float = THRESHOLD, min_pages: int = MIN_PAGES) -> DataFrame:
-    """(host, nodes): leaves of text whose importance is low."""
-    low = importance(nodes).where((F.col("importance") < threshold) & (F.col("pages") >= min_pages) & F.col("has_text"))
+    """(host, nodes): the nodes of branches that hold text and are of low importance throughout."""
+    judged = importance(nodes).withColumn("low", (F.col("importance") < threshold) & (F.col("pages") >= min_pages))
+    judged = materialise(judged, "judged")
+    # a node above one that is not low stays, whatever its own importance
+    steps = F.split("node", "/")
+    above = F.transform(F.sequence(F.lit(1), F.size(steps)), lambda i: F.array_join(F.slice(steps, 1, i), "/"))
+    kept = judged.where(~F.col("low")).select("host", F.explode(above).alias("node")).distinct()
+    low = judged.where(F.col("low") & F.col("has_text")).join(kept, ["host", "node"], "left_anti")
     return low.groupBy("host").agg(F.sort_array(F.collect_set("node")).alias("_removed"))
 
 
@@ -311,7 +321,7 @@ def extract(
     """Every page with ``text`` and ``n_chars`` in place of its html."""
     pages = pages.drop("text", "n_chars", "_host", "_salt", "_removed")
     hosted = pages.withColumn("_host", host_of(url)).withColumn("_salt", F.pmod(F.xxhash64(url, html), F.lit(SALTS)))
-    removed = removable(style_nodes(hosted, html), threshold, min_pages).withColumnRenamed("host", "_host")
+    removed = removable(materialise(style_nodes(hosted, html), "style-nodes"), threshold, min_pages).withColumnRenamed("host", "_host")
     # a host's pages are dealt over SALTS keys, its few nodes are copied to each
     copies = removed.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
     joined = hosted.join(copies, ["_host", "_salt"], "left")

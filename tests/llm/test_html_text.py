@@ -56,3 +56,9 @@ def test_wrapper_does_not_take_its_text_along(spark):
 def test_copies_count_once(spark):
     got = extracted(spark, [f"<div class=c>words {max(i, 90)}</div>" for i in range(100)])
     assert got == {i: f"words {max(i, 90)}" for i in range(100)}
+
+
+@pytest.mark.parametrize("tag", ["article", "main"])
+def test_repeated_block_in_main_part(spark, tag):
+    got = extracted(spark, [f"<{tag}><h1>Title {i}</h1><p>text {i}</p><div class=about>about us, always</div></{tag}>" for i in range(20)])
+    assert got == {i: f"Title {i} text {i}" for i in range(20)}

@@ -10,8 +10,8 @@ and its content are the text blocks at it.  With m pages holding a node, its imp
 and the greater of the two stands for a node, so a node that shows every reader the same
 thing, page after page, has low importance.  A branch has the greatest importance in it, that of
 a node or of any node below.  Branches under ``threshold`` all of whose nodes are on
-``min_pages`` pages or more are removed from every page, whole, but not from those
-with an ``article`` or ``main`` element.  Pages of a host with the same content count as one.  Statistics are
+``min_pages`` pages or more are removed from every page, whole, inside an ``article`` or
+``main`` element as well.  Pages of a host with the same content count as one.  Statistics are
 grouped per host and node with partial sums, so a host with a third of all pages is no hot task.
 
 The tree cannot tell a fresh menu or advert from an article, as both differ from page to page;
@@ -228,8 +228,6 @@ class Page:
     def text(self, removed: frozenset[str] = frozenset()) -> str:
         """The main text; blocks at or under a removed node are left out, and those outside a main part, where there is one."""
         blocks = [(node, t) for node, t, main in self.blocks if main or not self.has_main]
-        if self.has_main:
-            return " ".join(t for _, t in blocks)
         return " ".join(t for node, t in blocks if not removed or not _under(node, removed))
 
 
@@ -262,8 +260,6 @@ def style_nodes(pages: DataFrame, html: str = "html") -> DataFrame:
             rows = []
             for host, source in zip(batch.column("_host").to_pylist(), batch.column(html).to_pylist()):
                 page = Page(source or "")
-                if page.has_main:
-                    continue
                 own = digest([part for node, text, main in page.blocks if main or not page.has_main for part in (node, text)])
                 texts: dict[str, list[str]] = {}
                 for node, text, _ in page.blocks:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 import public_tokenizers
 
-from vitrine.llm import bpe, decontaminate, html_text, langid, licenses, near_dedup, secrets, substring_dedup, token_files, winnowing
+from vitrine.llm import bpe, decontaminate, html_text, langid, licenses, near_dedup, pieces, secrets, substring_dedup, token_files, variants, whitening, winnowing
 from vitrine.llm.common import table
 from vitrine.session import scratch_path
 
@@ -152,4 +152,31 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.deduplicate(docs, with_text=False)
 
 
+@register
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first four whitened components of every embedding."""
+    vectors = table(spark, sf_dir, "embeddings").where(whitening.whole(F.col("embedding")))
+    vectors = vectors.select("vec_id", whitening.quantise(F.col("embedding")).alias("x"))
+    return whitening.transform(vectors, whitening.fit(vectors, k=4), k=4).drop("x")
+
+
+@register
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The commoner spelling of every word of the documents."""
+    return variants.variants(table(spark, sf_dir, "documents"))
+
+
+@register
+def op13_piece_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Piece ids of every document and the text that they decode to."""
+    model = pieces.read_model(public_tokenizers.path("piece_bpe_32k.model"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pieces.encode(docs, model, decoded="decoded").select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 ORACLES["op9_license_scan"] = licenses.oracle()

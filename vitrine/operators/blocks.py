@@ -80,7 +80,7 @@ def row_slices(n_rows: int, width: int) -> Iterator[slice]:
         yield slice(start, start + step)
 
 
-def _runs(values: np.ndarray) -> Iterator[tuple[int, int]]:
+def runs(values: np.ndarray) -> Iterator[tuple[int, int]]:
     """Bounds of the runs of equal neighbours."""
     if len(values) == 0:
         return
@@ -121,13 +121,23 @@ def score_grid(
     )
     types = {f.name: f.dataType.simpleString() for f in placed.schema.fields}
     schema = f"{query_key} {types[query_key]}, {entry_key} {types[entry_key]}, score double"
+    return run_cells(placed, load, score, schema)
+
+
+def run_cells(
+    placed: DataFrame, load: Callable[[pa.Table], object], score: Callable[[object, pa.Table], pa.RecordBatch], schema: str
+) -> DataFrame:
+    """Run ``score(load(entries of a cell), some queries)`` on partitions sorted by ``cell`` and ``is_query``.
+
+    A partition may hold several cells; one of them is in memory at a time.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cell, entries_of_cell, state = None, [], None
         for batch in batches:
             cell_of = batch.column("cell").to_numpy()
             is_query = batch.column("is_query").to_numpy()
-            for begin, end in _runs(cell_of.astype(np.int64) * 2 + is_query):
+            for begin, end in runs(cell_of.astype(np.int64) * 2 + is_query):
                 part = batch.slice(begin, end - begin)
                 if cell_of[begin] != cell:
                     cell, entries_of_cell, state = cell_of[begin], [], None

@@ -9,7 +9,7 @@ from vitrine.functions.text import fixed_chunks
 from vitrine.operators import corpus
 from vitrine.plans.catalog_plans import RENDER_SQL
 from vitrine.plans.views import CATALOG_SQL, DOCUMENTS_SQL, GOLD_SQL, catalog, documents, gold, spread_documents, table
-from vitrine.sources.points import dimension_check, upsert
+from vitrine.sources.points import dimension_check, new_point_table, upsert
 
 DIM = 64
 
@@ -75,6 +75,41 @@ def upsert_latest(spark, sf_dir):
     return upsert(existing, labelled.unionByName(turns))
 
 
+def upsert_stored(spark, sf_dir):
+    """A stored collection after two upserts and one that failed, and the points that it rejected.
+
+    The vectors create it; labelled documents replace some of them, one that comes with an older
+    version does not; documents of one language come without a vector and are rejected.
+    """
+    points = table(spark, sf_dir, "embeddings").select(
+        F.concat(F.lit("v"), "vec_id").alias("id"), F.lit(5).cast("bigint").alias("version"),
+        F.concat(F.lit("label "), "label").alias("note"), "embedding",
+    )
+    labels = table(spark, sf_dir, "labels").withColumn("id", F.concat(F.lit("v"), "doc_id"))
+    rated = points.select("id", "embedding").join(labels, "id").select(
+        "id", (5 + F.col("quality") - F.col("toxic")).cast("bigint").alias("version"),
+        F.concat(F.lit("quality "), "quality").alias("note"), "embedding",
+    )
+    empty = F.array().cast("array<float>")
+    bare = table(spark, sf_dir, "documents").where("lang = 'de'").select(
+        F.concat(F.lit("d"), "doc_id").alias("id"), F.lit(1).cast("bigint").alias("version"), F.col("lang").alias("note"),
+        empty.alias("embedding"),
+    )
+    stored = new_point_table(spark, DIM)
+    stored.upsert(points)
+    broken = rated.withColumn("note", F.when(F.col("version") == 5, F.raise_error(F.lit("write broken off"))).otherwise("note"))
+    try:
+        stored.upsert(broken.withColumn("version", F.col("version") + 100))
+    except Exception as error:
+        if "write broken off" not in str(error):
+            raise
+    rejected = stored.upsert(rated.unionByName(bare))
+    kept = stored.read().withColumn("stored", F.lit(True))
+    return kept.unionByName(rejected.drop("dim", "accepted").withColumn("stored", F.lit(False))).select(
+        "id", "version", "note", F.size("embedding").cast("bigint").alias("dim"), "stored"
+    )
+
+
 def vector_dim_check(spark, sf_dir):
     checked = dimension_check(table(spark, sf_dir, "embeddings"), DIM)
     return checked.select("vec_id", F.col("dim").cast("bigint").alias("dim"), "accepted")
@@ -165,6 +200,7 @@ QUERIES = {
     "chunk_recursive": chunk_recursive,
     "corpus_union": corpus_union,
     "upsert_latest": upsert_latest,
+    "upsert_stored": upsert_stored,
     "vector_dim_check": vector_dim_check,
     "l2_normalize": l2_normalize,
 }
@@ -186,6 +222,14 @@ ORACLES = {
         UNION ALL SELECT 'conv_' || conv_id, turn, role, text FROM conversations)
         SELECT id, version, kind, body FROM points
         QUALIFY row_number() OVER (PARTITION BY id ORDER BY version DESC) = 1""",
+    "upsert_stored": """WITH points AS (
+        SELECT 'v' || vec_id AS id, CAST(5 AS BIGINT) AS version, 'label ' || label AS note, len(embedding) AS dim, 0 AS later
+        FROM embeddings
+        UNION ALL SELECT 'v' || vec_id, 5 + quality - toxic, 'quality ' || quality, len(embedding), 1
+        FROM embeddings JOIN labels ON vec_id = doc_id),
+        kept AS (SELECT * FROM points QUALIFY row_number() OVER (PARTITION BY id ORDER BY version DESC, later DESC) = 1)
+        SELECT id, version, note, dim, true AS stored FROM kept
+        UNION ALL SELECT 'd' || doc_id, 1, lang, 0, false FROM documents WHERE lang = 'de'""",
     "vector_dim_check": "SELECT vec_id, len(embedding) AS dim, len(embedding) = 64 AS accepted FROM embeddings",
     "l2_normalize": """WITH shifted AS (
         SELECT vec_id, list_transform(CAST(embedding AS DOUBLE[]), lambda x: x + 0.5) AS v FROM embeddings),

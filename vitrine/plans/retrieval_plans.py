@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from vitrine.operators import dense, fusion, lexical
 from vitrine.plans.corpus_plans import CORPUS_SQL, shop_corpus
-from vitrine.plans.views import DOCUMENTS_SQL, QUESTIONS_SQL, questions, spread_documents, table
+from vitrine.plans.views import DOCUMENTS_SQL, GOLD_SQL, QUESTIONS_SQL, documents, gold, questions, spread_documents, table
 from vitrine.session import input_state, materialise, still_stored
 
 K = 3
@@ -54,12 +54,12 @@ def document_index(spark, sf_dir, scheme: str) -> lexical.LexicalIndex:
     it is when the files of the documents are others.
     """
     docs = spread_documents(spark, sf_dir)
-    key = (spark.sparkContext.applicationId, input_state(table(spark, sf_dir, "documents")))
+    key = (spark.sparkContext.applicationId, input_state(spark, f"{sf_dir}/documents.parquet"))
     if key not in _counts or not still_stored(_counts[key].texts) or not still_stored(_counts[key].frequencies):
         _counts[key] = lexical.count_terms(docs)
         for scheme_key in [k for k in _indexes if k[:2] == key]:
             del _indexes[scheme_key]
-    if (*key, scheme) not in _indexes or not still_stored(_indexes[(*key, scheme)].weights):
+    if (*key, scheme) not in _indexes or not still_stored(_indexes[(*key, scheme)].postings):
         _indexes[(*key, scheme)] = lexical.build_index(docs, scheme, counts=_counts[key])
     return _indexes[(*key, scheme)]
 
@@ -69,13 +69,13 @@ _corpora: dict[tuple, tuple] = {}
 
 def chunk_index(spark, sf_dir):
     """The stored chunk corpus and its BM25 index, built on first use."""
-    states = tuple(input_state(table(spark, sf_dir, name)) for name in ("documents", "part", "lineitem"))
+    states = tuple(input_state(spark, f"{sf_dir}/{name}.parquet") for name in ("documents", "part", "lineitem"))
     key = (spark.sparkContext.applicationId, states)
     known = _corpora.get(key)
-    stored = known and (known[0], known[1].weights, known[1].frequencies)
+    stored = known and (known[0], known[1].postings, known[1].frequencies)
     if not stored or not all(still_stored(part) for part in stored):
-        corpus = materialise(shop_corpus(spark, sf_dir), "corpus")
-        _corpora[key] = (corpus, lexical.build_index(corpus))
+        corpus = materialise(shop_corpus(spark, sf_dir).select("*", "payload.category", "payload.price_eur"), "corpus")
+        _corpora[key] = (corpus, lexical.build_index(corpus, facets=("source_type", "category", "price_eur")))
     return _corpora[key]
 
 
@@ -85,10 +85,31 @@ def _text_topk(scheme: str, k: int):
     )
 
 
+WANTED = "source_type = 'policy' OR category LIKE '%BRUSHED%' AND price_eur <= 1200"
+
+
+def bm25_topk_filtered(spark, sf_dir):
+    """Hits among policy chunks and the cheaper products of some categories."""
+    _, index = chunk_index(spark, sf_dir)
+    return _ranked(lexical.search(index, questions(spark, sf_dir), K, WANTED))
+
+
+def bm25_topk_updated(spark, sf_dir):
+    """Hits after an update of the document index: labelled documents of low quality are cut to their
+    first sentence, benchmark passages are added, toxic documents are removed."""
+    index = document_index(spark, sf_dir, "bm25")
+    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").cast("string").alias("id"), "quality", "toxic")
+    docs = documents(spark, sf_dir)
+    poor = docs.join(labels.where("quality = 0 AND toxic = 0"), "id").select("id", F.split("text", "[.]")[0].alias("text"))
+    passages = gold(spark, sf_dir).select("id", F.col("question").alias("text"))
+    updated = lexical.update_index(index, poor.unionByName(passages), labels.where("toxic = 1"))
+    return _ranked(lexical.search(updated, questions(spark, sf_dir), K))
+
+
 def hybrid_rrf(spark, sf_dir):
     def search(scheme):
         index = document_index(spark, sf_dir, scheme)
-        return lambda asked, depth: lexical.search(index, asked, depth)
+        return lambda asked, depth: lexical.search(index, asked, depth, prune=False)
 
     return _ranked(fusion.fuse_whole_lists(search("bm25"), search("tfidf"), questions(spark, sf_dir), K, FUSED_DEPTH))
 
@@ -167,6 +188,8 @@ QUERIES = {
     "tfidf_vectors": tfidf_vectors,
     "tfidf_topk": _text_topk("tfidf", K),
     "bm25_topk": _text_topk("bm25", K),
+    "bm25_topk_filtered": bm25_topk_filtered,
+    "bm25_topk_updated": bm25_topk_updated,
     "hybrid_rrf": hybrid_rrf,
 }
 
@@ -182,6 +205,17 @@ ORACLES = {
     "tfidf_vectors": f"WITH {DOCUMENTS_SQL}, {QUESTIONS_SQL}, {tfidf_sql()} SELECT id, term, round(w, 6) AS w FROM t_vectors",
     "tfidf_topk": f"WITH {DOCUMENTS_SQL}, {QUESTIONS_SQL}, {tfidf_sql()} SELECT question_id, rank, id, score FROM hits",
     "bm25_topk": f"WITH {DOCUMENTS_SQL}, {QUESTIONS_SQL}, {bm25_sql('docs')} SELECT question_id, rank, id, score FROM hits",
+    "bm25_topk_filtered": f"""WITH RECURSIVE {CORPUS_SQL}, {QUESTIONS_SQL}, {bm25_sql('corpus', k=10**12, hits='scored')}
+        SELECT question_id, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, scored.id) AS rank, scored.id, score
+        FROM scored JOIN corpus USING (id) LEFT JOIN catalog ON catalog.sku = corpus.sku
+        WHERE source_type = 'policy' OR category LIKE '%BRUSHED%' AND price_eur <= 1200 QUALIFY rank <= 3""",
+    "bm25_topk_updated": f"""WITH {DOCUMENTS_SQL}, {QUESTIONS_SQL}, {GOLD_SQL},
+        rated AS (SELECT CAST(doc_id AS VARCHAR) AS id, quality, toxic FROM labels),
+        updated AS (
+          SELECT id, CASE WHEN quality = 0 THEN string_split(text, '.')[1] ELSE text END AS text
+          FROM docs LEFT JOIN rated USING (id) WHERE coalesce(toxic, 0) <> 1
+          UNION ALL SELECT id, question FROM gold),
+        {bm25_sql('updated')} SELECT question_id, rank, id, score FROM hits""",
     "hybrid_rrf": f"""WITH {DOCUMENTS_SQL}, {QUESTIONS_SQL}, {bm25_sql('docs', k=10**12, hits='sparse')},
         {tfidf_sql(k=10**12, hits='dense')}, fused AS (
         SELECT coalesce(s.question_id, d.question_id) AS question_id, coalesce(s.id, d.id) AS id,

@@ -117,6 +117,72 @@ def test_more_hits_wanted_than_texts_and_empty_corpus(spark):
         lexical.build_index(corpus, "other")
 
 
+def test_filtered_text_search(spark, library):
+    """Only wanted texts are hits, by the statistics of all; blocks are ranges of the facets."""
+    questions, docs = library
+    asked, corpus = frames(spark, questions, docs)
+    corpus = corpus.withColumn("kind", F.substring("id", 1, 1)).withColumn("price", F.when(F.col("kind") == "d", F.expr("CAST(substring(id, 2) AS INT) * 0.5")))
+    index = lexical.build_index(corpus, per_block=200, facets=("kind", "price"))
+    scores = bm25(questions, docs)
+    for where, wanted in (
+        ("kind = 'd' AND price <= 20", lambda i: i[0] == "d" and int(i[1:]) <= 40),
+        ("kind <> 'd' OR price = 3", lambda i: i[0] != "d" or i == "d006"),
+        ("kind = 'nothing'", lambda i: False),
+    ):
+        expected = top({(q, i): s for (q, i), s in scores.items() if wanted(i)}, 4)
+        assert_same(ranked(lexical.search(index, asked, 4, where)), expected)
+    assert_same(ranked(lexical.search(index, asked, 4)), top(scores, 4))
+    with pytest.raises(ValueError):
+        lexical.search(lexical.build_index(corpus), asked, 3, "price < 1")
+
+
+@pytest.mark.parametrize("facets", [(), ("kind",)])
+def test_updated_index_equals_one_built_anew(spark, library, facets):
+    """Texts come, change and go in three updates; a word that all texts hold changes its frequency each time."""
+    questions, docs = library
+    docs = dict(docs)
+    asked, corpus = frames(spark, questions | {"late": "brandnew w3 the"}, docs)
+    kind = F.length("id").alias("kind")
+    index = lexical.build_index(corpus.select("*", kind), per_block=300, facets=facets)
+    updates = [
+        ({"d001": "the w1 w1 w1", "new1": "brandnew the", "x000": ""}, ["d002", "x001", "unknown"]),
+        ({"new1": "brandnew brandnew w3", "d002": "the word is back"}, [f"x{n:03d}" for n in range(40)]),
+        ({}, ["new1", "d001"]),
+    ]
+    for changed, removed in updates:
+        fresh = spark.createDataFrame(list(changed.items()), "id string, text string").select("*", kind)
+        index = lexical.update_index(index, fresh, spark.createDataFrame([(i,) for i in removed], "id string"))
+        for i in removed:
+            docs.pop(i, None)
+        docs |= changed
+        expected = top(bm25(questions | {"late": "brandnew w3 the"}, docs), 4)
+        assert_same(ranked(lexical.search(index, asked, 4)), expected)
+        anew = lexical.build_index(frames(spark, {"q": ""}, docs)[1])
+        assert (index.n_docs, index.n_words) == (anew.n_docs, anew.n_words)
+        assert sorted(map(tuple, index.frequencies.collect())) == sorted(map(tuple, anew.frequencies.collect()))
+    with pytest.raises(ValueError):
+        lexical.update_index(lexical.build_index(corpus, "tfidf"), corpus)
+
+
+def test_blocks_that_cannot_matter_are_not_scored(spark):
+    """Texts of 20 topics in ranges, a third of all words is one word: each question meets few of the blocks."""
+    random.seed(3)
+    topics = [[f"t{t}_{n}" for n in range(12)] for t in range(20)]
+    docs = {f"{t:02d}-{n:02d}": " ".join(random.choices(topics[t], k=12)) + " the" * 6 for t in range(20) for n in range(30)}
+    questions = {f"q{t}": "the " + " ".join(topics[t][:3]) for t in range(20)}
+    asked, corpus = frames(spark, questions, docs)
+    index = lexical.build_index(corpus.withColumn("topic", F.substring("id", 1, 2)), per_block=300, facets=("topic",))
+    assert index.n_blocks >= 16
+    terms = lexical.materialise(lexical.question_terms(index, asked), "terms")
+    directory = index.postings.where("term IS NOT NULL").select("term", "block", index.bound().alias("bound"))
+    first, pairs = lexical._prune(index, terms, directory, 3, None)
+    assert first.select("question_id").distinct().count() == len(questions)
+    assert pairs.count() < len(questions) * index.n_blocks / 4  # "the" alone would make nearly all of them
+    expected = top(bm25(questions, docs), 3)
+    assert_same(ranked(lexical.search(index, asked, 3)), expected)
+    assert_same(ranked(lexical.search(index, asked, 3, prune=False)), expected)
+
+
 def test_tfidf_vectors_have_unit_length(spark, library):
     _, corpus = frames(spark, *library)
     lengths = lexical.term_vectors(lexical.build_index(corpus, "tfidf")).groupBy("id").agg(F.sum(F.col("w") * F.col("w")).alias("s"))

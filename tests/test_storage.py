@@ -1,5 +1,7 @@
 import json
 
+from pyspark.sql import functions as F
+
 from vitrine import schemas
 from vitrine.operators import answering as A
 from vitrine.sources import files
@@ -79,6 +81,49 @@ def test_point_table(spark, tmp_path):
     assert rows_of(table.read()) == [("a", 2, "two"), ("b", 1, "new")]
 
 
+def test_point_table_writes_only_what_changes(spark, tmp_path):
+    table = PointTable(spark, str(tmp_path / "points"), dim=1, buckets=8)
+    many = spark.range(200).selectExpr("CAST(id AS STRING) AS id", "array(CAST(id AS FLOAT)) AS embedding", "0L AS version", "'first' AS note")
+    table.upsert(many)
+    before = table.manifest()
+    assert set(before.values()) == {0} and len(before) == 8
+    one = spark.createDataFrame([("7", [1.0], 1, "second")] * 90, POINTS)  # one id holds a batch
+    for _ in range(2):
+        assert table.upsert(one).count() == 0
+    after = table.manifest()
+    assert sum(after[b] != before[b] for b in after) == 1
+    assert dict((r.id, r.note) for r in table.read().collect())["7"] == "second" and table.read().count() == 200
+
+    def broken_off(points):
+        """A write that ends between its buckets and its manifest."""
+        real, table._path = table._path, lambda *parts: (_ for _ in ()).throw(OSError("lost"))
+        try:
+            table.upsert(points)
+        finally:
+            table._path = real
+
+    for lost in (broken_off, lambda p: table.upsert(p.withColumn("note", F.raise_error(F.lit("lost"))))):
+        try:
+            lost(many.withColumn("version", F.lit(9).cast("bigint")))
+            raise AssertionError("the write should have failed")
+        except AssertionError:
+            raise
+        except Exception as error:
+            assert "lost" in str(error)
+    assert table.manifest() == after and {r.version for r in table.read().collect()} == {0, 1}
+    assert table.upsert(many.limit(0)).count() == 0 and table.manifest() == after
+    assert table.vacuum() > 0 and table.read().count() == 200 and table.manifest() == after
+    table.upsert(many.withColumn("version", F.lit(2).cast("bigint")))
+    assert {r.version for r in table.read().collect()} == {2}
+
+
+def test_empty_point_table(spark, tmp_path):
+    table = PointTable(spark, str(tmp_path / "none"), dim=2)
+    bad = spark.createDataFrame([("a", [1.0], 0, "short")], POINTS)
+    assert [r.id for r in table.upsert(bad).collect()] == ["a"]
+    assert not table.manifest()
+
+
 def test_stream_equals_batch_and_replay_changes_nothing(spark, shop, tmp_path):
     docs = spark.createDataFrame([("returns_policy", "r" * 10)], "id string, text string")
     source, out, check = (str(tmp_path / n) for n in ("in", "out", "check"))

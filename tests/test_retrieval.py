@@ -164,6 +164,26 @@ def test_updated_index_equals_one_built_anew(spark, library, facets):
         lexical.update_index(lexical.build_index(corpus, "tfidf"), corpus)
 
 
+def test_vector_blocks_out_of_reach_are_not_scored(spark):
+    """Bundles of vectors about 12 directions, a third of all rows copies of one: each query meets few blocks."""
+    draw = np.random.default_rng(2)
+    directions = np.eye(12)[draw.integers(0, 12, 400)] + 0.02 * draw.normal(size=(400, 12))
+    points = [*directions, *[directions[0]] * 200, np.zeros(12), -directions[1]]
+    vectors = spark.createDataFrame([(i, v.tolist(), i % 3) for i, v in enumerate(points)], "id long, embedding array<double>, kind int")
+    asked = vectors.where("id % 9 = 0 OR id >= 600").select(F.col("id").alias("question_id"), "embedding")
+    index = dense.build_index(vectors, per_block=20)
+    assert index.n_blocks >= 30
+    first = dense.materialise(dense._to_blocks(index, asked.withColumn("floor", F.lit(None).cast("double"))), "first")
+    assert first.groupBy("question_id").count().where("count <> 1").count() == 0
+    reached = dense._to_blocks(index, asked.withColumn("floor", F.lit(0.9)))
+    assert reached.count() < asked.count() * index.n_blocks / 3
+
+    unit = np.array(points) / np.maximum(np.linalg.norm(points, axis=1), 1e-300)[:, None]
+    for where, wanted in ((None, lambda i: True), ("kind = 1", lambda i: i % 3 == 1), ("id >= 600", lambda i: i >= 600)):
+        scores = {(r.question_id, i): float(unit[r.question_id] @ unit[i]) for r in asked.collect() for i in range(len(points)) if wanted(i)}
+        assert_same(ranked(dense.search_index(index, asked, 4, where)), top(scores, 4))
+
+
 def test_blocks_that_cannot_matter_are_not_scored(spark):
     """Texts of 20 topics in ranges, a third of all words is one word: each question meets few of the blocks."""
     random.seed(3)
@@ -215,6 +235,9 @@ def test_hits_get_text_or_default(spark):
     corpus = spark.createDataFrame([("a", "text", "policy"), ("b", "t", None)], "id string, text string, source_type string")
     rows = {r.id: (r.text, r.source_type) for r in dense.with_text(hits, corpus).collect()}
     assert rows == {"a": ("text", "policy"), "gone": ("", "unknown")}
+    loaded = corpus.withColumn("payload", F.struct("id", F.lit(3).alias("price")))
+    payloads = {r.id: r.payload for r in dense.with_text(hits, loaded).collect()}
+    assert payloads == {"a": ("a", 3), "gone": None}
 
 
 def test_fusion(spark):
@@ -238,10 +261,3 @@ def test_vector_functions(spark):
     ).collect()
     assert [(r.u, r.d, r.n) for r in rows] == [([0.6, 0.8], 24.0, 5.0), ([0.0, 0.0], 0.0, 0.0)]
     assert frame.limit(1).select(vector.cosine(F.col("a"), F.col("b"))).first()[0] == pytest.approx(0.96)
-
-
-def test_grid_bounds_blocks_and_fills_cores():
-    assert blocks.Grid.for_sizes(10**9, 10**3, 10**6, 100).blocks >= 1000
-    assert blocks.Grid.for_sizes(0, 0, 10, 8) == blocks.Grid(1, 1)
-    wide = blocks.Grid.for_sizes(1000, 10**8, 10**6, 64)
-    assert wide.blocks == 1 and wide.slices == 64

@@ -1,26 +1,19 @@
-"""Top-k scoring of many queries against many entries on a grid of blocks.
-
-Entries are dealt into blocks of a bounded number, queries into slices; each
-cell of the grid scores one block against one slice and keeps the best ``k``
-entries of every query.  A cell is a partition, sorted so that the entries
-arrive before the queries: the task holds the entries as arrays and lets the
-queries stream past in Arrow batches, so its memory does not depend on the
-number of queries.  No pair of query and entry is ever a row, only the ``k``
-best per query and block are.
-
-Blocks and slices follow hashes of the unique ids.  A frequent word, a
-frequent source or a popular question therefore loads all cells alike.
+"""Top-k scoring of queries against blocks of entries.
+
+Entries lie in blocks of a bounded size.  A cell is a block with the queries that are to be
+scored against it: rows of one partition, sorted so that the entries arrive before the
+queries.  The task holds the entries as arrays and lets the queries stream past in Arrow
+batches, so its memory does not depend on the number of queries.  No pair of query and
+entry is ever a row, only the ``k`` best per query and block are.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 DECIMALS = 6
 # cells of the score matrix computed at a time in one task (8 bytes each)
@@ -28,28 +21,6 @@ _CELLS = 1 << 21
 _STRETCH = 64
 
 
-@dataclass(frozen=True)
-class Grid:
-    """``blocks`` of entries times ``slices`` of queries."""
-
-    blocks: int
-    slices: int
-
-    @classmethod
-    def for_sizes(cls, n_entries: int, n_queries: int, per_block: int, cores: int) -> Grid:
-        """The grid with the fewest copies.
-
-        Every entry is copied to each slice and every query to each block.
-        Memory asks for at least ``n_entries / per_block`` blocks; beyond that
-        about one cell per core is wanted, shaped like the ratio of the sizes.
-        """
-        needed = max(1, -(-n_entries // per_block))
-        cells = min(cores, max(1, (n_entries + n_queries) // 1024))
-        balanced = round(math.sqrt(cells * n_entries / max(1, n_queries)))
-        blocks = max(needed, min(balanced, cells), 1)
-        return cls(blocks, max(1, cells // blocks))
-
-
 def top_cells(scores: np.ndarray, k: int, positive: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """Row and column numbers of the best ``k`` cells of each row, best first.
 
@@ -89,41 +60,6 @@ def runs(values: np.ndarray) -> Iterator[tuple[int, int]]:
     yield from zip(bounds[:-1].tolist(), bounds[1:].tolist())
 
 
-def score_grid(
-    entries: DataFrame,
-    queries: DataFrame,
-    grid: Grid,
-    load: Callable[[pa.Table], object],
-    score: Callable[[object, pa.Table], pa.RecordBatch],
-    entry_key: str,
-    query_key: str,
-) -> DataFrame:
-    """Run ``score(load(entries of a block), some queries)`` in every cell of the grid.
-
-    An entry and a query are one row each.  The tables share their columns but
-    for the two keys.  The result has the columns ``query_key``, ``entry_key``
-    and ``score``.
-    """
-    block = F.pmod(F.xxhash64(entry_key), F.lit(grid.blocks)).cast("int") * grid.slices
-    slice_ = F.pmod(F.xxhash64(query_key), F.lit(grid.slices)).cast("int")
-
-    def cells(first: Column, step: int, n: int) -> Column:
-        return F.explode(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: first + i * step))
-
-    placed = (
-        entries.select("*", F.lit(0).alias("is_query"), cells(block, 1, grid.slices).alias("cell"))
-        .unionByName(
-            queries.select("*", F.lit(1).alias("is_query"), cells(slice_, grid.slices, grid.blocks).alias("cell")),
-            allowMissingColumns=True,
-        )
-        .repartitionById(grid.blocks * grid.slices, F.col("cell"))
-        .sortWithinPartitions("cell", "is_query")
-    )
-    types = {f.name: f.dataType.simpleString() for f in placed.schema.fields}
-    schema = f"{query_key} {types[query_key]}, {entry_key} {types[entry_key]}, score double"
-    return run_cells(placed, load, score, schema)
-
-
 def run_cells(
     placed: DataFrame, load: Callable[[pa.Table], object], score: Callable[[object, pa.Table], pa.RecordBatch], schema: str
 ) -> DataFrame:

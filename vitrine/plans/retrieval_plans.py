@@ -26,13 +26,24 @@ def _ranked(hits):
     return hits.withColumn("rank", F.col("rank").cast("bigint"))
 
 
+_collections: dict[tuple, dense.VectorIndex] = {}
+
+
+def vector_index(spark, sf_dir) -> dense.VectorIndex:
+    """The vectors in blocks, built on first use."""
+    key = (spark.sparkContext.applicationId, input_state(spark, f"{sf_dir}/embeddings.parquet"))
+    if key not in _collections or not still_stored(_collections[key].vectors):
+        _collections[key] = dense.build_index(_vectors(spark, sf_dir))
+    return _collections[key]
+
+
 def vector_topk(spark, sf_dir):
-    return _ranked(dense.search(_vectors(spark, sf_dir), _vector_queries(spark, sf_dir), K))
+    return _ranked(dense.search_index(vector_index(spark, sf_dir), _vector_queries(spark, sf_dir), K))
 
 
 def vector_topk_filtered(spark, sf_dir):
-    wanted = _vectors(spark, sf_dir).filter("label = 3 OR label >= 8")
-    return _ranked(dense.search(wanted, _vector_queries(spark, sf_dir), K))
+    wanted = "label = 3 OR label >= 8"
+    return _ranked(dense.search_index(vector_index(spark, sf_dir), _vector_queries(spark, sf_dir), K, wanted))
 
 
 def hits_with_text(spark, sf_dir):

@@ -261,3 +261,17 @@ def test_vector_functions(spark):
     ).collect()
     assert [(r.u, r.d, r.n) for r in rows] == [([0.6, 0.8], 24.0, 5.0), ([0.0, 0.0], 0.0, 0.0)]
     assert frame.limit(1).select(vector.cosine(F.col("a"), F.col("b"))).first()[0] == pytest.approx(0.96)
+
+
+def test_short_passages_are_searched_in_blocks(spark, monkeypatch):
+    """More passages than a block holds, repeated ids, a passage in all texts, and none at all."""
+    from vitrine.plans import views
+
+    monkeypatch.setattr(views, "SHORT_PASSAGES", 7)
+    passages = [(f"g{n}", t) for n, t in enumerate(["e t", "the", "w1 w", "zz", "", ".", "a%b", "w12 w3"] * 5)] + [("g1", "w5")]
+    texts = [(f"d{n}", f"the w{n} w{n % 4} a%b" + "." * (n % 2)) for n in range(30)] + [("none", None)]
+    asked = spark.createDataFrame(passages, "question_id string, text string")
+    docs = spark.createDataFrame(texts, "id string, text string")
+    expected = sorted((q, i) for q, p in passages for i, t in texts if t is not None and p in t)
+    assert sorted(map(tuple, views._containing(docs, asked).collect())) == expected
+    assert views._containing(docs, asked.limit(0)).count() == 0

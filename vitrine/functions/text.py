@@ -25,6 +25,7 @@ def product_text() -> Column:
     stock = F.transform(
         F.map_entries("stock"), lambda e: F.concat(e["key"], F.lit(": "), e["value"].cast("string"))
     )
+    # fixed values: the labels and their order
     parts = [
         ("SKU", F.col("sku")),
         ("Name", F.col("name")),

@@ -207,8 +207,7 @@ def gold_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     A document holding a passage holds every run of four words inside it.
     Each passage is looked up by its rarest run, and the text is compared only
     for the documents found.  A passage under six words has no inner run; those
-    few are one set of at most ``SHORT_PASSAGES`` texts per pass over the
-    documents, and each text is searched for all of them.
+    few lie in blocks, and each text is searched for the passages of a block at a time.
     """
     passages = table(spark, sf_dir, "benchmark").select(
         F.concat(F.lit("g"), F.col("item_id").cast("string")).alias("question_id"), "text"
@@ -239,14 +238,20 @@ SHORT_PASSAGES = 1000
 
 
 def _containing(docs: DataFrame, passages: DataFrame) -> DataFrame:
-    """``(question_id, source_id)`` of documents that contain short passages, in blocks of passages."""
-    asked = [tuple(r) for r in passages.select("question_id", "text").collect()]  # a part of the golden set
-    found = docs.sparkSession.createDataFrame([], "question_id string, source_id string")
-    for at in range(0, len(asked), SHORT_PASSAGES):
-        block = F.array(*[F.struct(F.lit(q).alias("q"), F.lit(t).alias("t")) for q, t in asked[at : at + SHORT_PASSAGES]])
-        held = F.explode(F.filter(block, lambda p: F.col("text").contains(p["t"])))
-        found = found.unionByName(docs.select(held.alias("p"), "id").select(F.col("p.q").alias("question_id"), F.col("id").alias("source_id")))
-    return found
+    """``(question_id, source_id)`` of documents that contain short passages.
+
+    About ``SHORT_PASSAGES`` passages are one row of a stored table, and each text is searched
+    for the passages of one row at a time: a stated set of queries against all texts, in blocks.
+    """
+    n_blocks = -(-passages.count() // SHORT_PASSAGES)
+    if not n_blocks:
+        return docs.where("false").select(F.col("id").alias("question_id"), F.col("id").alias("source_id"))
+    block = F.pmod(F.xxhash64("question_id"), F.lit(n_blocks)).alias("block")
+    asked = F.collect_list(F.struct(F.col("question_id").alias("q"), F.col("text").alias("t"))).alias("asked")
+    asked = materialise(passages.groupBy(block).agg(asked), "short-passages")
+    met = docs.select("id", "text", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_blocks - 1).cast("long"))).alias("block")).join(asked, "block")
+    held = F.explode(F.filter("asked", lambda p: F.col("text").contains(p["t"])))
+    return met.select(held.alias("p"), "id").select(F.col("p.q").alias("question_id"), F.col("id").alias("source_id"))
 
 
 GOLD_SOURCES_SQL = """

@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import base64
 import re
+from array import array
 from collections.abc import Iterator
 
 import ahocorasick
@@ -30,9 +31,10 @@ from pyspark.sql import types as T
 
 from vitrine.llm.common import slices
 
-#: Entries in each generation of a worker's memos of cuttings, pieces and token pairs.
-MEMO = 60_000
+#: Entries in each generation of a worker's memos of cuttings and pieces, and in its memo of token pairs.
+MEMO, PAIRS = 200_000, 400_000
 _NEVER = 1 << 40
+_NOTHING: dict[int, bool] = {}
 _SPACES = re.compile(r" \s")
 _CUT = re.compile(r"(?= \S)")
 
@@ -82,22 +84,24 @@ class Encoder:
         self.automaton = ahocorasick.Automaton()
         for token, rank in vocabulary.ranks.items():
             if rank not in vocabulary.whole:
-                self.automaton.add_word(token.decode("latin-1"), (rank, len(token)))
+                self.automaton.add_word(token.decode("latin-1"), (rank, len(token) - 1))
         self.automaton.make_automaton()
-        self.fitting: dict[int, bool] = {}
+        self.size_of = [len(token) for token in vocabulary.bytes_of]
+        self.fitting: dict[int, dict[int, bool]] = {}
+        self.n_fitting = 0
         self.shorter: dict[int, int] = {}
         self.pieces = _Generations(self._pack_piece)
         self.memo = _Generations(self._pack_cutting)
 
     def fits(self, left: int, right: int) -> bool:
         """Whether the tokens can stand side by side: going back through their merges, latest first,
-        no pair across the border may have been a token of lower rank than the merges still to come."""
-        key = left << 24 | right
-        known = self.fitting.get(key)
-        if known is None:
-            if len(self.fitting) >= MEMO:
-                self.fitting.clear()
-            known = self.fitting[key] = self._fits(left, right)
+        no pair across the border may have been a token of lower rank than the merges still to come.
+        Kept for the next time."""
+        if self.n_fitting >= PAIRS:
+            self.fitting, self.n_fitting = {}, 0
+        known = self._fits(left, right)
+        self.fitting.setdefault(left, {})[right] = known
+        self.n_fitting += 1
         return known
 
     def _fits(self, left: int, right: int) -> bool:
@@ -130,26 +134,33 @@ class Encoder:
         whole = self.v.ranks.get(piece)
         if whole is not None:
             return [whole]
-        n, sizes = len(piece), self.v.bytes_of
+        n, size_of = len(piece), self.size_of
         longest = [-1] * (n + 1)
-        for end, (rank, size) in self.automaton.iter(piece.decode("latin-1")):
-            longest[end - size + 1] = rank  # later ends are longer
+        for end, (rank, back) in self.automaton.iter(piece.decode("latin-1")):
+            longest[end - back] = rank  # later ends are longer
         out: list[int] = []
-        dead = bytearray(n + 1)
-        at, token = 0, longest[0]
+        dead, any_dead = bytearray(n + 1), False
+        at, token, beside = 0, longest[0], None
         while at < n:
+            # beside: what is known of tokens after the last one; None at the start, where any may stand
             while token >= 0:
-                stop = at + len(sizes[token])
-                if not dead[stop] and (not out or self.fits(out[-1], token)):
-                    break
+                stop = at + size_of[token]
+                if not (any_dead and dead[stop]):
+                    if beside is None:
+                        break
+                    fitting = beside.get(token)
+                    if fitting or fitting is None and self.fits(out[-1], token):
+                        break
                 token = self.next_shorter(token)
             if token >= 0:
                 out.append(token)
-                at, token = stop, longest[stop]
+                at, beside, token = stop, self.fitting.get(token, _NOTHING), longest[stop]
             elif out:
-                dead[at] = 1
+                dead[at], any_dead = 1, True
                 token = out.pop()
-                at -= len(sizes[token])
+                at -= size_of[token]
+                beside = self.fitting.get(out[-1], _NOTHING) if out else None
+                token = self.next_shorter(token)
             else:
                 raise ValueError("a byte of the text is not in the vocabulary")
         return out
@@ -159,7 +170,7 @@ class Encoder:
         self.pieces.old, self.memo.old = {}, {}
 
     def _pack_piece(self, piece: str) -> bytes:
-        return np.array(self.encode_piece(piece.encode()), "<u4").tobytes()
+        return array("I", self.encode_piece(piece.encode())).tobytes()
 
     def _pack_cutting(self, cutting: str) -> bytes:
         return b"".join(map(self.pieces.__getitem__, self.find(cutting)))

@@ -65,6 +65,33 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Tables that one job stores in the shared folder, and drops once later tables hold what they were read for."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.folder = spark, scratch_path(spark, name)
+        self.stored: list[tuple[DataFrame, str]] = []
+
+    def store(self, df: DataFrame, name: str) -> DataFrame:
+        """As ``materialise``."""
+        path = f"{self.folder}/{name}-{uuid.uuid4().hex}"
+        df.write.option("compression", "zstd").parquet(path)
+        table = self.spark.read.schema(df.schema).parquet(path)
+        self.stored.append((table, path))
+        return table
+
+    def drop(self, *tables: DataFrame) -> None:
+        """Deletes tables that no DataFrame still to be computed reads."""
+        for _, path in [x for x in self.stored if any(x[0] is t for t in tables)]:
+            folder = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(folder, True)
+        self.stored = [x for x in self.stored if not any(x[0] is t for t in tables)]
+
+    def drop_others(self, *tables: DataFrame) -> None:
+        """Deletes all tables but these."""
+        self.drop(*[t for t, _ in self.stored if not any(t is x for x in tables)])
+
+
 def input_state(spark: SparkSession, path: str) -> tuple:
     """Number, size, times and names of the files under ``path`` as one row; another state means other data.
 

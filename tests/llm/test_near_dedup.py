@@ -4,7 +4,8 @@ import numpy as np
 from hypothesis import given, settings, strategies as st
 
 from vitrine.llm import near_dedup as N
-from vitrine.llm.components import components
+from vitrine.llm.components import components, merged
+from vitrine.session import Scratch
 from tests.llm.conftest import prose
 
 
@@ -121,6 +122,42 @@ def test_pairs_inside_a_template(spark):
     assert got == {i: i - i % 2 for i in range(120)}
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.integers(0, 9), min_size=1, max_size=N.SHORT - 1), st.lists(st.integers(0, 9), min_size=1, max_size=N.SHORT - 1))
+def test_short_texts_always_meet(a, b):
+    if distance(a, b) <= int(0.2 * max(len(a), len(b)) + 1e-9):
+        keys = [set(N.rest_keys(N.mix(np.array(x, np.uint64) + np.uint64(1))).tolist()) for x in (a, b)]
+        assert keys[0] & keys[1]
+
+
+def test_all_links_of_short_texts(spark):
+    draw, rows = random.Random(11), []
+    for g in range(150):  # as many edits as the similarity allows
+        words = [f"w{g}x{i}" for i in range(draw.randrange(5, N.SHORT))]
+        other = list(words)
+        for at in draw.sample(range(len(words)), len(words) // 5):
+            other[at] = f"e{g}x{at}"
+        rows += [(2 * g, " ".join(words)), (2 * g + 1, " ".join(other))]
+    got, _ = classes_of(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    assert got == {i: i - i % 2 for i in range(300)}
+
+
+def test_blocks_hold_every_pair_of_classes(spark):
+    draw = random.Random(12)
+    rows = [("b", 90, i == 0, bytes([i]), 50, bytes([0 if i < 60 else i // 3])) for i in range(90)]
+    left = spark.createDataFrame(rows, "bucket string, n long, leads boolean, node binary, n_words int, class binary")
+    bags = spark.createDataFrame([(bytes([i]), bytes(N.BAG)) for i in range(90)], "node binary, bag binary")
+    got = N.block_pairs(left, bags, 0.8, Scratch(spark, "test"), size=draw.randrange(4, 9)).collect()
+    want = {(a[3], b[3]) for a in rows for b in rows if a[3] < b[3] and a[5] != b[5]}
+    assert {(bytes(r.a), bytes(r.b)) for r in got} == want and len(got) == len(want)
+
+
+def test_many_rows_without_an_id(spark):
+    rows = [(None, prose(3000 + i, 40)) for i in range(800)] + [(None, prose(3000, 40))] * 300
+    kept = N.without_near_copies(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert len(kept) == 800 and {r.text for r in kept} == {t for _, t in rows}
+
+
 def test_rows_with_null_or_repeated_ids_stay(spark):
     text = prose(700, 60)
     rows = [(1, text), (None, edited(text, 1, 0.02)), *[(None, prose(710 + i, 60)) for i in range(4)]]
@@ -130,6 +167,23 @@ def test_rows_with_null_or_repeated_ids_stay(spark):
     assert kept == sorted((str(i), t) for i, t in [rows[0], *rows[2:8], rows[9]])
 
 
+def test_components_of_random_links(spark):
+    draw = random.Random(4)
+    for nodes, links in ((60, 45), (300, 280), (40, 300)):
+        edges = [(draw.randrange(nodes), draw.randrange(nodes)) for _ in range(links)]
+        want = {x: x for e in edges if e[0] != e[1] for x in e}
+        for _ in range(nodes):
+            for a, b in edges:
+                if a != b:
+                    want[a] = want[b] = min(want[a], want[b])
+        frame = spark.createDataFrame(edges, "a long, b long")
+        rows = components(frame).collect()
+        assert {r.node: r.component for r in rows} == want and len(rows) == len(want)
+        half = spark.createDataFrame(edges[: links // 2], "a long, b long")
+        rows = merged(components(half), spark.createDataFrame(edges[links // 2 :], "a long, b long"), Scratch(spark, "test")).collect()
+        assert {r.node: r.component for r in rows} == want and len(rows) == len(want)
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 30)] + [(7, 7)]
     got = {r.node: r.component for r in components(spark.createDataFrame(chain, "a long, b long")).collect()}

@@ -8,15 +8,23 @@ candidate pair is linked if its alignment needs at most ``(1 - similarity) * max
 edits of words, found by furthest-reaching points in a band of that many diagonals.  Classes
 are the connected components of the links.
 
+Sketches of few shingles are a matter of luck, so texts under ``SHORT`` words also meet in
+buckets of what is left of them without any words that the allowed edits may change.  Two such
+texts that are similar enough always share one.
+
 Equal word sequences are one node of the graph; copies are never paired.  In every bucket
 each node is compared with the bucket's leader first.  In a bucket of up to ``PAIRED`` nodes
 all pairs that are not in one class by then are compared too (a pair within a class would
 change nothing).  In a larger bucket that still holds several classes, the node with the most
 links so far (a hub) is compared with all others of the bucket, up to ``HUBS`` times and while
 that links anything; this only saves work.  Then all its pairs of different classes are gone
-through: nodes are dealt into blocks of about ``BLOCK`` by hash, every two blocks of a bucket
-meet in a row of their own, and pairs whose counts of words (``BAG`` counters by hash) alone
-need more edits than allowed are left out before anything is aligned.  That bound is exact.
+through: nodes are dealt into blocks of about ``BLOCK`` by hash, those of the bucket's largest
+class apart from the others, and every two blocks but two of the largest class meet in a row of
+their own.  Pairs whose counts of words (``BAG`` counters by hash) alone need more edits than
+allowed are left out before anything is aligned.  That bound is exact.
+
+Words of the nodes that share a bucket are stored once; tables of a round are dropped when the
+next has been written.
 
 A text without words is a node by its exact content; null counts as empty.  Texts under five
 words have one shingle, the whole of them.  The class id is the least document id in the class
@@ -27,18 +35,21 @@ words have one shingle, the whole of them.  The class id is the least document i
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from vitrine.llm.common import gram_hashes, mix, slices, utf8_rows, word_hashes
-from vitrine.llm.components import components
-from vitrine.session import materialise
+from vitrine.llm.components import components, merged
+from vitrine.session import Scratch
 
 SHINGLE = 5
 SIMILARITY = 0.8
 SKETCHES = 48
+SHORT = 15
 PAIRED = 16
 HUBS = 2
 BLOCK = 64
@@ -99,6 +110,29 @@ def order_sketches(words: np.ndarray, sketches: int = SKETCHES) -> np.ndarray:
         return mix(mix(shingles[place[:, 0]] + _ORDER) + shingles[place[:, 1]] + seed[:, 0])
 
 
+@lru_cache(maxsize=256)
+def _rests(n: int, gone: int) -> np.ndarray:
+    return np.array(list(combinations(range(n), n - gone)), np.int64).reshape(-1, n - gone)
+
+
+def rest_keys(words: np.ndarray, similarity: float = SIMILARITY) -> np.ndarray:
+    """Hashes of a short text's words without any of up to as many as it may have edits.
+
+    The words that two texts share in an alignment are left in both; the lesser text never
+    loses more than its own length allows, as each word that it is shorter by is an edit.
+    """
+    n = len(words)
+    keys = []
+    with np.errstate(over="ignore"):
+        for gone in range(int((1 - similarity) * n + 1e-9) + 1):
+            rests = _rests(n, gone)
+            total = np.full(len(rests), n - gone, np.uint64) ^ _ORDER
+            for column in rests.T:
+                total = mix(total + words[column])
+            keys.append(total)
+    return np.unique(np.concatenate(keys))
+
+
 def bag_of(words: np.ndarray) -> bytes:
     """Counts of words by hash, up to 255 each."""
     return np.minimum(np.bincount((words & np.uint64(BAG - 1)).astype(np.int64), minlength=BAG), 255).astype(np.uint8).tobytes()
@@ -109,8 +143,16 @@ def text_digest(text: str):
     return F.sha2(F.coalesce(F.col(text), F.lit("")), 256)
 
 
-def signatures(docs: DataFrame, key: str = "doc_id", text: str = "text", sketches: int = SKETCHES) -> DataFrame:
-    """(id, own, node, n_words, bag, sketches) of every row; ``own`` digests its text."""
+def signatures(
+    docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, sketches: int = SKETCHES
+) -> DataFrame:
+    """(id, own, node, n_words, bag, sketches) of every row; ``own`` digests its text, ``sketches`` are its buckets."""
+
+    def buckets(words: np.ndarray) -> np.ndarray:
+        if not len(words):
+            return np.empty(0, np.int64)
+        drawn = np.unique(order_sketches(words, sketches))
+        return (np.concatenate((drawn, rest_keys(words, similarity))) if len(words) < SHORT else drawn).view(np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -120,7 +162,7 @@ def signatures(docs: DataFrame, key: str = "doc_id", text: str = "text", sketche
                 nodes.append(text_key(raw, words))
                 counts.append(len(words))
                 bags.append(bag_of(words))
-                found.append(order_sketches(words, sketches).view(np.int64) if len(words) else np.empty(0, np.int64))
+                found.append(buckets(words))
             ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
                 [
@@ -143,53 +185,55 @@ def _similar_lengths(a: str, b: str, similarity: float):
 
 
 def crowds(members: DataFrame) -> DataFrame:
-    """The (bucket, node, n_words) rows of buckets with company, with the bucket's size ``n`` and its leader."""
-    groups = members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
-    met = materialise(members.join(groups, "bucket"), "met")
-    # the least node leads, so that a group of copies has one leader in all of its buckets
-    leads = met.groupBy("bucket").agg(F.min(F.struct("node", "n_words")).alias("lead"))
-    return materialise(met.join(leads, "bucket"), "led")
+    """The (bucket, node, n_words) rows of buckets with company, with the bucket's size ``n`` and whether they lead it."""
+    # the node of the least hash leads, so that a group of copies has one leader in all of its buckets
+    place = F.xxhash64("node")
+    groups = members.groupBy("bucket").agg(F.count("*").alias("n"), F.min(place).alias("least")).where("n > 1")
+    return members.join(groups, "bucket").select("bucket", "node", "n_words", "n", (place == F.col("least")).alias("leads"))
 
 
 def led_pairs(met: DataFrame, similarity: float) -> DataFrame:
     """Candidate pairs (a, b) of each node and its bucket's leader."""
+    leads = met.where("leads").select("bucket", F.col("node").alias("lead"), F.col("n_words").alias("lead_words"))
     return (
-        met.where((F.col("node") != F.col("lead.node")) & _similar_lengths("n_words", "lead.n_words", similarity))
-        .select(F.col("lead.node").alias("a"), F.col("node").alias("b"))  # the leader is the lesser
+        met.where("not leads")
+        .join(leads, "bucket")
+        .where(_similar_lengths("n_words", "lead_words", similarity))
+        .select(F.least("lead", "node").alias("a"), F.greatest("lead", "node").alias("b"))
         .distinct()
     )
 
 
-def remaining_pairs(met: DataFrame, labels: DataFrame, similarity: float, paired: int = PAIRED) -> DataFrame:
-    """All pairs (a, b) of small buckets that are in different classes so far."""
-    small = (
-        met.where(F.col("n") <= paired)
-        .join(labels, "node", "left")
-        .select("bucket", "node", "n_words", F.coalesce("component", "node").alias("class"))
-    )
-    other = small.select("bucket", F.col("node").alias("b"), F.col("n_words").alias("nb"), F.col("class").alias("other"))
+def remaining_pairs(left: DataFrame, similarity: float) -> DataFrame:
+    """All pairs (a, b) of different classes in the buckets of ``left``, which are small."""
+    other = left.select("bucket", F.col("node").alias("b"), F.col("n_words").alias("nb"), F.col("class").alias("other"))
     return (
-        small.join(other, "bucket")
+        left.join(other, "bucket")
         .where((F.col("node") < F.col("b")) & (F.col("class") != F.col("other")) & _similar_lengths("n_words", "nb", similarity))
         .select(F.col("node").alias("a"), "b")
         .distinct()
     )
 
 
-def mixed(met: DataFrame, labels: DataFrame) -> DataFrame:
-    """(bucket, n, node, n_words, class) of the larger buckets that still hold several classes."""
-    placed = met.join(labels, "node", "left").select("bucket", "n", "node", "n_words", F.coalesce("component", "node").alias("class"))
-    several = placed.groupBy("bucket").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low != high")
-    return materialise(placed.join(several.select("bucket"), "bucket"), "mixed")
+def mixed(met: DataFrame, labels: DataFrame, scratch: Scratch) -> DataFrame:
+    """(bucket, n, leads, node, n_words, class) of the buckets that still hold several classes."""
+    placed = met.join(labels, "node", "left").select("bucket", "n", "leads", "node", "n_words", F.coalesce("component", "node").alias("class"))
+    placed = scratch.store(placed, "placed")
+    name = F.xxhash64("class")
+    several = placed.groupBy("bucket").agg(F.min(name).alias("low"), F.max(name).alias("high")).where("low != high")
+    left = scratch.store(placed.join(several.select("bucket"), "bucket"), "mixed")
+    scratch.drop(placed)
+    return left
 
 
-def hubs(left: DataFrame, links: DataFrame, asked: DataFrame) -> DataFrame:
-    """(bucket, hub): the node of each bucket with the most links, among those not asked before."""
+def hubs(left: DataFrame, links: DataFrame, asked: DataFrame | None) -> DataFrame:
+    """(bucket, hub): the node of each bucket with the most links, among those that neither lead nor were asked before."""
     ends = links.select(F.col("a").alias("node")).union(links.select(F.col("b").alias("node")))
     degrees = ends.groupBy("node").agg(F.count("*").alias("degree"))
-    open_ = left.join(degrees, "node").join(asked, ["bucket", "node"], "left_anti")
-    best = open_.groupBy("bucket").agg(F.max(F.struct("degree", "node", "n_words", "class")).alias("hub"))
-    return materialise(best, "hubs")
+    open_ = left.where("not leads").join(degrees, "node")
+    if asked is not None:
+        open_ = open_.join(asked, ["bucket", "node"], "left_anti")
+    return open_.groupBy("bucket").agg(F.max(F.struct("degree", "node", "n_words", "class")).alias("hub"))
 
 
 def hub_pairs(left: DataFrame, best: DataFrame, similarity: float) -> DataFrame:
@@ -209,19 +253,29 @@ def least_edits(bags: np.ndarray, others: np.ndarray) -> np.ndarray:
     return (apart + extra) // 2  # words that one lacks, or the other: whichever are more
 
 
-def block_pairs(left: DataFrame, bags: DataFrame, similarity: float, size: int = BLOCK) -> DataFrame:
+def block_pairs(left: DataFrame, bags: DataFrame, similarity: float, scratch: Scratch, size: int = BLOCK) -> DataFrame:
     """All pairs (a, b) of different classes in a bucket that their lengths and bags (node, bag) leave possible."""
-    blocks = F.ceil(F.col("n") / size).cast("int")
+    sizes = left.groupBy("bucket", "class").agg(F.count("*").alias("c"))
+    largest = sizes.groupBy("bucket").agg(F.max(F.struct("c", "class")).alias("largest"))
+    # blocks of the largest class come after the others
+    others, same = F.ceil((F.col("n") - F.col("largest.c")) / size).cast("int"), F.ceil(F.col("largest.c") / size).cast("int")
+    place = F.xxhash64("node")
+    block = F.when(F.col("class") == F.col("largest.class"), others + F.pmod(place, same)).otherwise(F.pmod(place, others))
     dealt = (
-        left.join(bags, "node")
-        .withColumn("block", F.pmod(F.xxhash64("node"), blocks).cast("int"))
+        left.join(largest, "bucket")
+        .join(bags, "node")
+        .select("bucket", block.cast("int").alias("block"), others.alias("others"), (others + same).alias("blocks"), "node", "n_words", "class", "bag")
         .groupBy("bucket", "block")
-        .agg(F.max(blocks).alias("blocks"), F.collect_list(F.struct("node", "n_words", "class", "bag")).alias("nodes"))
+        .agg(F.max("others").alias("others"), F.max("blocks").alias("blocks"), F.collect_list(F.struct("node", "n_words", "class", "bag")).alias("nodes"))
+    )
+    dealt = scratch.store(dealt, "blocks")
+    # every two blocks have a key of their own, the first not of the largest class; a block also meets itself
+    here = dealt.where("block < others").select(
+        "bucket", F.col("block").alias("i"), F.explode(F.expr("sequence(block, blocks - 1)")).alias("j"), "nodes"
+    )
+    there = dealt.select(
+        "bucket", F.explode(F.expr("sequence(0, least(block, others - 1))")).alias("i"), F.col("block").alias("j"), F.col("nodes").alias("others")
     )
-    dealt = materialise(dealt, "blocks")
-    # every two blocks of a bucket, and each with itself, have a key of their own
-    here = dealt.select("bucket", F.col("block").alias("i"), F.explode(F.expr("sequence(block, blocks - 1)")).alias("j"), "nodes")
-    there = dealt.select("bucket", F.explode(F.expr("sequence(0, block)")).alias("i"), F.col("block").alias("j"), F.col("nodes").alias("others"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def block(rows):
@@ -345,25 +399,21 @@ def verified(pairs: DataFrame, words: DataFrame, similarity: float = SIMILARITY)
 
 
 def words_of_nodes(docs: DataFrame, carriers: DataFrame, key: str, text: str) -> DataFrame:
-    """(node, words) of the nodes in ``carriers`` (node, id): words as 32-bit hashes, from one document each."""
+    """(node, words) of the nodes in ``carriers`` (node, id, own): words as 32-bit hashes, from one document each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            keep, found = [], []
-            for i, (node, raw) in enumerate(zip(batch.column("node").to_pylist(), utf8_rows(batch.column(text)))):
-                words = word_hashes(raw)[2]
-                if text_key(raw, words) == node:  # other rows may have the same id
-                    keep.append(i)
-                    found.append((words >> np.uint64(32)).astype(np.uint32).view(np.int32))
+            found = [(word_hashes(raw)[2] >> np.uint64(32)).astype(np.uint32).view(np.int32) for raw in utf8_rows(batch.column(text))]
             ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
             flat = np.concatenate(found) if found else np.empty(0, np.int32)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("node").take(pa.array(keep, pa.int64())), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat, pa.int32()))],
-                names=["node", "words"],
+                [batch.column("node"), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat, pa.int32()))], names=["node", "words"]
             )
 
-    rows = docs.select(F.col(key).cast("long").alias("_id"), text)
-    joined = rows.join(carriers, F.col("_id").eqNullSafe(F.col("id"))).select("node", text)
+    rows = docs.select(F.col(key).cast("long").alias("_id"), text_digest(text).alias("_own"), text)
+    carrier = carriers.select("node", F.col("id").alias("_node_id"), F.col("own").alias("_node_own"))
+    joined = rows.join(carrier, (F.col("_own") == F.col("_node_own")) & F.col("_id").eqNullSafe(F.col("_node_id"))).select("node", text)
+    # only rows that repeat, id and text, are more than one of a node
     return joined.mapInArrow(run, "node binary, words array<int>").dropDuplicates(["node"])
 
 
@@ -379,13 +429,16 @@ def classes(
 def placed_rows(
     docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, sketches: int = SKETCHES
 ) -> DataFrame:
-    """(id, own, class) of every row."""
-    rows = materialise(signatures(docs, key, text, sketches), "signatures")
+    """(id, own, class) of every row, stored."""
+    scratch = Scratch(docs.sparkSession, "near-copies")
+    rows = scratch.store(signatures(docs, key, text, similarity, sketches), "signatures")
     nodes = rows.groupBy("node").agg(
-        F.min("id").alias("id"), F.first("n_words").alias("n_words"), F.first("bag").alias("bag"), F.first("sketches").alias("sketches")
+        F.min(F.struct("id", "own")).alias("carrier"), F.first("n_words").alias("n_words"), F.first("bag").alias("bag"), F.first("sketches").alias("sketches")
     )
-    nodes = materialise(nodes, "nodes")
-    members = nodes.select("node", "n_words", F.explode("sketches").alias("bucket"))
+    nodes = scratch.store(nodes.select("node", "carrier.id", "carrier.own", "n_words", "bag", "sketches"), "nodes")
+    met = scratch.store(crowds(nodes.select("node", "n_words", F.explode("sketches").alias("bucket"))), "met")
+    company = met.select("node").distinct()
+    words = scratch.store(words_of_nodes(docs, nodes.select("node", "id", "own").join(company, "node"), key, text), "words")
     links, known, labels = None, None, None
 
     def compare(pairs: DataFrame) -> bool:
@@ -393,37 +446,51 @@ def placed_rows(
         nonlocal links, known, labels
         if known is not None:
             pairs = pairs.join(known, ["a", "b"], "left_anti")
-        pairs = materialise(pairs, "pairs")
+        pairs = scratch.store(pairs, "pairs")
         known = pairs if known is None else known.union(pairs)
-        ends = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-        carriers = ends.join(nodes.select("node", "id"), "node")
-        words = materialise(words_of_nodes(docs, carriers, key, text), "words")
-        found = materialise(verified(pairs, words, similarity), "verified")
-        new = found.limit(1).count() > 0
-        if links is None or new:
-            links = found if links is None else links.union(found)
-            labels = components(links)
-        return new
-
-    met = crowds(members)
+        found = scratch.store(verified(pairs, words, similarity), "verified")
+        if labels is None:
+            links, labels = found, scratch.store(components(found), "labels")
+            return True
+        if not found.limit(1).count():
+            return False
+        before, links = labels, links.union(found)
+        labels = merged(before, found, scratch)
+        scratch.drop(before)
+        return True
+
+    def remix(table: DataFrame) -> DataFrame:
+        """The buckets of ``table`` that are still mixed; the table goes."""
+        fresh = mixed(table, labels, scratch)
+        scratch.drop(table)
+        return fresh
+
     compare(led_pairs(met, similarity))
-    compare(remaining_pairs(met, labels, similarity))
-    left = mixed(met.where(F.col("n") > PAIRED), labels)
-    asked = met.select("bucket", F.col("lead.node").alias("node"))
+    left = remix(met)
+    small = left.where(F.col("n") <= PAIRED)
+    large = scratch.store(left.where(F.col("n") > PAIRED), "large")
+    if small.limit(1).count():
+        compare(remaining_pairs(small, similarity))
+    scratch.drop(left)
+    large, asked = remix(large), None
     for _ in range(HUBS):
-        best = hubs(left, links, asked)
-        if not best.limit(1).count() or not compare(hub_pairs(left, best, similarity)):
+        best = scratch.store(hubs(large, links, asked), "hubs")
+        if not best.limit(1).count() or not compare(hub_pairs(large, best, similarity)):
             break
-        asked = asked.union(best.select("bucket", "hub.node"))
-        left = mixed(left.drop("class"), labels)
-    if left.limit(1).count():
-        compare(block_pairs(left, nodes.select("node", "bag"), similarity))
-    return rows.select("id", "own", "node").join(labels, "node", "left").select("id", "own", F.coalesce("component", "node").alias("class"))
+        called = best.select("bucket", "hub.node")
+        asked = called if asked is None else asked.union(called)
+        large = remix(large)
+    if large.limit(1).count():
+        compare(block_pairs(large, nodes.select("node", "bag"), similarity, scratch))
+    placed = rows.select("id", "own", "node").join(labels, "node", "left").select("id", "own", F.coalesce("component", "node").alias("class"))
+    placed = scratch.store(placed, "classes")
+    scratch.drop_others(placed)
+    return placed
 
 
 def without_near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """One row of every class: that of the least id (null last), then of the least digest, and one of equal rows."""
-    placed = materialise(placed_rows(docs, key, text, **options), "classes")
+    placed = placed_rows(docs, key, text, **options)
     first = placed.groupBy("class").agg(F.min(F.struct(F.col("id").isNull(), "id", "own")).alias("first"))
     stays = F.col("id").eqNullSafe(F.col("first.id")) & (F.col("own") == F.col("first.own"))
     gone = placed.join(first, "class").where(~stays).select(F.col("id").alias("_gone"), F.col("own").alias("_gone_own")).distinct()

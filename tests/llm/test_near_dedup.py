@@ -147,9 +147,13 @@ def test_blocks_hold_every_pair_of_classes(spark):
     rows = [("b", 90, i == 0, bytes([i]), 50, bytes([0 if i < 60 else i // 3])) for i in range(90)]
     left = spark.createDataFrame(rows, "bucket string, n long, leads boolean, node binary, n_words int, class binary")
     bags = spark.createDataFrame([(bytes([i]), bytes(N.BAG)) for i in range(90)], "node binary, bag binary")
-    got = N.block_pairs(left, bags, 0.8, Scratch(spark, "test"), size=draw.randrange(4, 9)).collect()
+    dealt = N.dealt_blocks(left, bags, size=draw.randrange(4, 9))
+    got = N.block_pairs(dealt, 0.8).collect()
     want = {(a[3], b[3]) for a in rows for b in rows if a[3] < b[3] and a[5] != b[5]}
     assert {(bytes(r.a), bytes(r.b)) for r in got} == want and len(got) == len(want)
+    group = {r[3]: r[5] for r in rows}
+    one = [{group[bytes(r.a)], group[bytes(r.b)]} for r in N.block_pairs(dealt, 0.8, best=True).collect()]
+    assert {frozenset(x) for x in one} == {frozenset((group[a], group[b])) for a, b in want} and len(one) == len(set(map(frozenset, one)))
 
 
 def test_many_rows_without_an_id(spark):

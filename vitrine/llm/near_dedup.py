@@ -20,7 +20,9 @@ links so far (a hub) is compared with all others of the bucket, up to ``HUBS`` t
 that links anything; this only saves work.  Then all its pairs of different classes are gone
 through: nodes are dealt into blocks of about ``BLOCK`` by hash, those of the bucket's largest
 class apart from the others, and every two blocks but two of the largest class meet in a row of
-their own.  Pairs whose counts of words (``BAG`` counters by hash) alone need more edits than
+their own.  As one link joins two classes, only the most promising pair of every two classes is
+aligned at first, up to ``BEST`` times and while that links anything; this, too, only saves work,
+as all pairs of the classes left follow.  Pairs whose counts of words (``BAG`` counters by hash) alone need more edits than
 allowed are left out before anything is aligned.  That bound is exact.
 
 Words of the nodes that share a bucket are stored once; tables of a round are dropped when the
@@ -52,6 +54,7 @@ SKETCHES = 48
 SHORT = 15
 PAIRED = 16
 HUBS = 2
+BEST = 3
 BLOCK = 64
 BAG = 256
 _SEEDS = mix(np.arange(1, 2 * SKETCHES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
@@ -253,22 +256,27 @@ def least_edits(bags: np.ndarray, others: np.ndarray) -> np.ndarray:
     return (apart + extra) // 2  # words that one lacks, or the other: whichever are more
 
 
-def block_pairs(left: DataFrame, bags: DataFrame, similarity: float, scratch: Scratch, size: int = BLOCK) -> DataFrame:
-    """All pairs (a, b) of different classes in a bucket that their lengths and bags (node, bag) leave possible."""
+def dealt_blocks(left: DataFrame, bags: DataFrame, size: int = BLOCK) -> DataFrame:
+    """(bucket, block, others, blocks, nodes): the nodes of each bucket, those of its largest class in the last blocks."""
     sizes = left.groupBy("bucket", "class").agg(F.count("*").alias("c"))
     largest = sizes.groupBy("bucket").agg(F.max(F.struct("c", "class")).alias("largest"))
-    # blocks of the largest class come after the others
     others, same = F.ceil((F.col("n") - F.col("largest.c")) / size).cast("int"), F.ceil(F.col("largest.c") / size).cast("int")
     place = F.xxhash64("node")
     block = F.when(F.col("class") == F.col("largest.class"), others + F.pmod(place, same)).otherwise(F.pmod(place, others))
-    dealt = (
+    return (
         left.join(largest, "bucket")
         .join(bags, "node")
         .select("bucket", block.cast("int").alias("block"), others.alias("others"), (others + same).alias("blocks"), "node", "n_words", "class", "bag")
         .groupBy("bucket", "block")
         .agg(F.max("others").alias("others"), F.max("blocks").alias("blocks"), F.collect_list(F.struct("node", "n_words", "class", "bag")).alias("nodes"))
     )
-    dealt = scratch.store(dealt, "blocks")
+
+
+def block_pairs(dealt: DataFrame, similarity: float, best: bool = False) -> DataFrame:
+    """All pairs (a, b) of different classes in a bucket that their lengths and bags leave possible.
+
+    With ``best``, one pair of every two classes: that of the least bound of edits.
+    """
     # every two blocks have a key of their own, the first not of the largest class; a block also meets itself
     here = dealt.where("block < others").select(
         "bucket", F.col("block").alias("i"), F.explode(F.expr("sequence(block, blocks - 1)")).alias("j"), "nodes"
@@ -284,23 +292,35 @@ def block_pairs(left: DataFrame, bags: DataFrame, similarity: float, scratch: Sc
             return nodes, rows.field("n_words").to_numpy().astype(np.int64), rows.field("class").to_pylist(), counts
 
         for batch in slices(batches, 16):
-            first, second = [], []
+            rows = []
             for mine, theirs in zip(batch.column("nodes"), batch.column("others")):
                 a, la, ca, bag_a = block(mine.values)
                 b, lb, cb, bag_b = block(theirs.values)
-                number = {c: k for k, c in enumerate({*ca, *cb})}
+                number = {c: k for k, c in enumerate(sorted({*ca, *cb}))}
                 ka, kb = np.array([number[c] for c in ca]), np.array([number[c] for c in cb])
                 longest = np.maximum(la[:, None], lb[None])
                 most = ((1 - similarity) * longest + 1e-9).astype(np.int64)
                 apart = (ka[:, None] != kb[None]) & (np.abs(la[:, None] - lb[None]) <= most)
-                if apart.any():
-                    for i, j in np.argwhere(apart & (least_edits(bag_a, bag_b) <= most)).tolist():
-                        first.append(min(a[i], b[j]))
-                        second.append(max(a[i], b[j]))
-            yield pa.RecordBatch.from_arrays([pa.array(first, pa.binary()), pa.array(second, pa.binary())], names=["a", "b"])
+                if not apart.any():
+                    continue
+                bound = least_edits(bag_a, bag_b)
+                i, j = np.nonzero(apart & (bound <= most))
+                if best:
+                    classes = np.minimum(ka[i], kb[j]) * len(number) + np.maximum(ka[i], kb[j])
+                    order = np.lexsort((bound[i, j], classes))
+                    order = order[np.unique(classes[order], return_index=True)[1]]
+                    i, j = i[order], j[order]
+                for x, y, edits in zip(i.tolist(), j.tolist(), bound[i, j].tolist()):
+                    rows.append((min(a[x], b[y]), max(a[x], b[y]), min(ca[x], cb[y]), max(ca[x], cb[y]), edits))
+            columns = list(zip(*rows)) or [()] * 5
+            kinds = (*[pa.binary()] * 4, pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds)], names=["a", "b", "low", "high", "bound"])
 
     met = here.join(there, ["bucket", "i", "j"]).select("nodes", "others")
-    return met.mapInArrow(run, "a binary, b binary").distinct()
+    found = met.mapInArrow(run, "a binary, b binary, low binary, high binary, bound long")
+    if best:
+        found = found.groupBy("low", "high").agg(F.min(F.struct("bound", "a", "b")).alias("best")).select("best.a", "best.b")
+    return found.select("a", "b").distinct()
 
 
 def edit_distance_within(a: np.ndarray, b: np.ndarray, most: int) -> int | None:
@@ -480,8 +500,17 @@ def placed_rows(
         called = best.select("bucket", "hub.node")
         asked = called if asked is None else asked.union(called)
         large = remix(large)
-    if large.limit(1).count():
-        compare(block_pairs(large, nodes.select("node", "bag"), similarity, scratch))
+    for best in (*[True] * BEST, False):
+        if not large.limit(1).count():
+            break
+        dealt = scratch.store(dealt_blocks(large, nodes.select("node", "bag")), "blocks")
+        found = compare(block_pairs(dealt, similarity, best))
+        if best and not found:  # the classes are as before
+            compare(block_pairs(dealt, similarity))
+        if not (best and found):
+            break
+        large = remix(large)
+        scratch.drop(dealt)
     placed = rows.select("id", "own", "node").join(labels, "node", "left").select("id", "own", F.coalesce("component", "node").alias("class"))
     placed = scratch.store(placed, "classes")
     scratch.drop_others(placed)

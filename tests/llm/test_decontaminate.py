@@ -1,5 +1,6 @@
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -68,3 +69,23 @@ def test_removal(spark, benchmark):
     hits = D.find_hits(docs, benchmark)
     assert sorted(r.doc_id for r in D.without_documents(hits).collect()) == [2, 3]
     assert {r.doc_id: r.text for r in D.without_spans(hits).collect()} == {1: "a  b", 2: "clean", 3: None}
+
+
+def test_words_decide_not_hashes(spark, benchmark, monkeypatch):
+    monkeypatch.setattr(D, "gram_hashes", lambda words, n: np.zeros(max(0, len(words) - n + 1), np.uint64))
+    rows, expected = list(enumerate(TEXTS)), {i: brute(t, ITEMS) for i, t in enumerate(TEXTS)}
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    # the functions that hash for the joins are nested, so tasks get them with what they name here
+    found = D.find_hits(docs, benchmark, max_broadcast_bytes=0).collect()
+    assert {r.doc_id: (r.n_words, r.n_hit, list(r["items"])) for r in found} == expected
+    known = D.WindowSet([tuple(r) for r in D.benchmark_windows(benchmark).collect()])
+    scanned = [D._scan(np.frombuffer((t or "").encode(), np.uint8), known, known.tables()) for _, t in rows]
+    assert dict(enumerate(r[:3] for r in scanned)) == expected
+
+
+@pytest.mark.parametrize("bound", [D.MAX_BROADCAST_BYTES, 0])
+def test_a_window_in_every_text(spark, benchmark, bound):
+    rows = [(i, f"text {i} with a short item in it, short item") for i in range(1200)] + [(None, "short item")] * 300
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    found = D.find_hits(docs, benchmark, max_broadcast_bytes=bound).groupBy("n_words", "n_hit", "items").count().collect()
+    assert sorted((r.n_words, r.n_hit, list(r["items"]), r["count"]) for r in found) == [(2, 2, ["2"], 300), (10, 4, ["2"], 1200)]

@@ -23,13 +23,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql import types as T
 
-from vitrine.llm.common import WORD_BYTE, gram_hashes, mix, utf8_rows, word_hashes
+from vitrine.llm.common import WORD_BYTE, gram_hashes, utf8_rows, word_hashes
 
 WIDTH = 10
 MAX_BROADCAST_BYTES = 64 << 20
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-_SALT = np.uint64(0x5851F42D4C957F2D)
+#: Copies of each window in a join, over which its places in texts are dealt.
+SALTS = 8
+#: Bytes of a window's objects in a task, beside its characters.
+OBJECTS = 600
 
 RESULT = T.StructType(
     [
@@ -144,7 +147,7 @@ def find_hits(
     """Every input row with ``n_words``, ``n_hit``, ``items`` (sorted strings) and ``spans`` (bytes, end exclusive)."""
     docs = docs.drop(*RESULT.names, "_text", "_key", "_places", "_items")
     windows = benchmark_windows(benchmark, width, text=text if text in benchmark.columns else "text", item=item)
-    size = windows.select(F.sum(F.octet_length("window") + F.octet_length("item") + 200)).head()[0] or 0
+    size = windows.select(F.sum(F.octet_length("window") + F.octet_length("item") + OBJECTS)).head()[0] or 0
     if size <= max_broadcast_bytes:
         return _by_broadcast(docs, windows, text)
     return _by_shuffle(docs, windows, text)
@@ -168,27 +171,24 @@ def _by_broadcast(docs: DataFrame, windows: DataFrame, text: str) -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
-def _second(words: np.ndarray, n: int) -> np.ndarray:
-    """Another hash of the same windows; with the first it stands for the words."""
-    return gram_hashes(mix(words ^ _SALT), n)
-
-
 def _by_shuffle(docs: DataFrame, windows: DataFrame, text: str) -> DataFrame:
-    """The same by joins; texts are told apart by their digest, so copies are looked up once."""
-    gram = "n int, hash long, second long"
+    """The same by joins; texts are told apart by their digest, so copies are looked up once.
+
+    A first join finds the places whose hash is one of a window.  Their words are then read from
+    the texts and joined to the windows themselves, so a hash alone never decides.  In both joins
+    places are dealt over ``SALTS`` copies of the windows, as many texts may hold the same one.
+    """
     keyed = docs.withColumn("_text", F.coalesce(F.col(text), F.lit(""))).withColumn("_key", F.sha2("_text", 256))
     distinct = keyed.groupBy("_key").agg(F.first("_text").alias("_text"))
     sizes = [r[0] for r in windows.select("n").distinct().collect()]  # at most `width` numbers
+    copies = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
+    dealt = F.pmod(F.xxhash64("_key", "at"), F.lit(SALTS)).cast("int").alias("salt")
 
     def of_windows(batches):
         for batch in batches:
-            out = []
-            for raw, n in zip(utf8_rows(batch.column("window")), batch.column("n").to_pylist()):
-                words = word_hashes(raw)[2]
-                out.append((n, int(gram_hashes(words, n).view(np.int64)[0]), int(_second(words, n).view(np.int64)[0])))
-            columns = [pa.array(c, t) for c, t in zip(zip(*out), (pa.int32(), pa.int64(), pa.int64()))] if out else None
-            if out:
-                yield pa.RecordBatch.from_arrays([*columns, batch.column("item")], names=["n", "hash", "second", "item"])
+            sizes_here = batch.column("n").to_pylist()
+            out = [int(gram_hashes(word_hashes(raw)[2], n).view(np.int64)[0]) for raw, n in zip(utf8_rows(batch.column("window")), sizes_here)]
+            yield pa.RecordBatch.from_arrays([batch.column("n"), pa.array(out, pa.int64())], names=["n", "hash"])
 
     def of_texts(batches):
         for batch in batches:
@@ -203,14 +203,29 @@ def _by_shuffle(docs: DataFrame, windows: DataFrame, text: str) -> DataFrame:
                                 pa.array(np.arange(len(one)), pa.int32()),
                                 pa.array(np.full(len(one), n), pa.int32()),
                                 pa.array(one),
-                                pa.array(_second(words, n).view(np.int64)),
                             ],
-                            names=["_key", "at", "n", "hash", "second"],
+                            names=["_key", "at", "n", "hash"],
                         )
 
-    known = windows.mapInArrow(of_windows, f"{gram}, item string")
-    grams = distinct.mapInArrow(of_texts, f"_key string, at int, {gram}")
-    hits = grams.join(known, ["n", "hash", "second"])
+    def words_at(batches):
+        for batch in batches:
+            for key, raw, places in zip(batch.column("_key"), utf8_rows(batch.column("_text")), batch.column("near").to_pylist()):
+                start, end, _ = word_hashes(raw)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([key.as_py()] * len(places), pa.string()),
+                        pa.array([p["at"] for p in places], pa.int32()),
+                        pa.array([p["n"] for p in places], pa.int32()),
+                        pa.array([_words_of(raw, start, end, p["at"], p["n"]).decode() for p in places], pa.string()),
+                    ],
+                    names=["_key", "at", "n", "window"],
+                )
+
+    hashes = windows.select("window", "n").distinct().mapInArrow(of_windows, "n int, hash long").distinct().select("n", "hash", copies)
+    grams = distinct.mapInArrow(of_texts, "_key string, at int, n int, hash long").select("_key", "at", "n", "hash", dealt)
+    near = grams.join(hashes, ["n", "hash", "salt"], "left_semi").groupBy("_key").agg(F.collect_list(F.struct("at", "n")).alias("near"))
+    places = near.join(distinct, "_key").mapInArrow(words_at, "_key string, at int, n int, window string").select("*", dealt)
+    hits = places.join(windows.select("window", "n", "item", copies), ["window", "n", "salt"])
     found = hits.groupBy("_key").agg(
         F.collect_set(F.struct("at", "n")).alias("_places"), F.sort_array(F.collect_set("item")).alias("_items")
     )

@@ -54,18 +54,21 @@ def test_edits(spark, odd_rows, odd_docs, clashing, no_docs):
         for i, text in enumerate(texts):
             after = texts[(i + 1) % len(texts)]
             changed = W.edited(text, after)
-            mine, theirs = W.fingerprint(text)[0], W.fingerprint(changed)[0]
+            (mine, places), (theirs, moved) = W.fingerprint(text), W.fingerprint(changed)
             expected.append(
                 (
                     str(ordered[i][0]),
                     len(text),
                     hashlib.sha256(changed.encode()).hexdigest(),
                     W.as_hex(mine),
+                    places.tolist(),
+                    W.as_hex(theirs),
+                    moved.tolist(),
                     W.likeness(mine, theirs),
                     W.likeness(mine, W.fingerprint(after)[0]),
                 )
             )
-        got = [(str(r.doc_id), r.n_chars, r.edited_sha256, r.fingerprint, r.near_edited, r.near_next) for r in rows]
+        got = [(str(r.doc_id), r.n_chars, r.edited_sha256, r.fingerprint, r.positions, r.edited_fingerprint, r.edited_positions, r.near_edited, r.near_next) for r in rows]
         assert sorted(got) == sorted(expected)
     assert W.compare_edits(no_docs).count() == 0
     assert W.compare_edits(odd_docs.where("doc_id = 1")).head().near_next == 1.0

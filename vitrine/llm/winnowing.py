@@ -34,7 +34,8 @@ _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 
 _OWN = (
-    "n_chars edited_sha256 fingerprint edited_fingerprint near_edited near_next _range _ahead _key _place _copy".split()
+    "n_chars edited_sha256 fingerprint positions edited_fingerprint edited_positions near_edited near_next"
+    " _range _ahead _key _place _copy".split()
 )
 FINGERPRINT = T.ArrayType(
     T.StructType([T.StructField("hash", T.LongType(), False), T.StructField("pos", T.LongType(), False)]), False
@@ -182,7 +183,10 @@ def compare_edits(
     window: int = WINDOW,
     partitions: int | None = None,
 ) -> DataFrame:
-    """Fingerprints of every row and of its edited text, and their likeness to each other and to the next row."""
+    """Fingerprints of every row and of its edited text, and their likeness to each other and to the next row.
+
+    ``positions`` and ``edited_positions`` hold the place of each hash of the fingerprint, in code points.
+    """
     partitions = partitions or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     docs = docs.drop(*[c for c in _OWN if c not in (key, text)])
     kept = [f for f in docs.schema.fields if f.name != text]
@@ -192,7 +196,9 @@ def compare_edits(
             T.StructField("n_chars", T.LongType()),
             T.StructField("edited_sha256", T.StringType()),
             T.StructField("fingerprint", T.StringType()),
+            T.StructField("positions", T.ArrayType(T.LongType())),
             T.StructField("edited_fingerprint", T.StringType()),
+            T.StructField("edited_positions", T.ArrayType(T.LongType())),
             T.StructField("near_edited", T.DoubleType()),
             T.StructField("near_next", T.DoubleType()),
         ]
@@ -200,14 +206,16 @@ def compare_edits(
     ordered = in_order(docs, key, text, 8 * partitions, partitions)
 
     def compared(pair):
-        row, mine, here, following, there = pair
+        row, (mine, places), here, following, (there, _) = pair
         changed = edited(here, following)
-        theirs = fingerprint(changed, k, window)[0]
+        theirs, moved = fingerprint(changed, k, window)
         return (
             len(here),
             hashlib.sha256(changed.encode()).hexdigest(),
             as_hex(mine),
+            places,
             as_hex(theirs),
+            moved,
             likeness(mine, theirs),
             likeness(mine, there),
         )
@@ -223,7 +231,7 @@ def compare_edits(
                 if ahead[i] and ranges[i] == closed:
                     continue
                 here = value or ""
-                mine = fingerprint(here, k, window)[0]
+                mine = fingerprint(here, k, window)
                 if waiting is not None:
                     rows.append(waiting[0])
                     results.append(compared((*waiting, here, mine)))
@@ -238,7 +246,8 @@ def compare_edits(
     return ordered.mapInArrow(run, schema)
 
 
-_KINDS = (pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64())
+_PLACES = pa.list_(pa.int64())
+_KINDS = (pa.int64(), pa.string(), pa.string(), _PLACES, pa.string(), _PLACES, pa.float64(), pa.float64())
 
 
 def _plain(column):

@@ -275,3 +275,69 @@ def test_short_passages_are_searched_in_blocks(spark, monkeypatch):
     expected = sorted((q, i) for q, p in passages for i, t in texts if t is not None and p in t)
     assert sorted(map(tuple, views._containing(docs, asked).collect())) == expected
     assert views._containing(docs, asked.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("scheme, brute", [("bm25", bm25), ("tfidf", tfidf)])
+def test_grid_equals_brute_force(spark, library, scheme, brute, monkeypatch):
+    """Groups of a few words meet groups of blocks, hits are dropped early; no pair of question and block is a row."""
+    questions, docs = library
+    asked, corpus = frames(spark, questions, docs)
+    index = lexical.build_index(corpus, scheme, per_block=150)
+    monkeypatch.setattr(lexical, "JOINED", -1)
+    monkeypatch.setattr(lexical, "WORDS_PER_GROUP", 40)
+    monkeypatch.setattr(blocks, "_GATHERED", 0)
+
+    def joined(*_):
+        raise AssertionError("bounds were joined")
+
+    monkeypatch.setattr(lexical, "_prune", joined)
+    for k in (2, 70):
+        assert_same(ranked(lexical.search(index, asked, k)), top(brute(questions, docs), k))
+
+
+def test_grid_of_filtered_and_updated_texts(spark, library, monkeypatch):
+    questions, docs = library
+    asked, corpus = frames(spark, questions, docs)
+    monkeypatch.setattr(lexical, "JOINED", -1)
+    index = lexical.build_index(corpus.withColumn("kind", F.substring("id", 1, 1)), per_block=200, facets=("kind",))
+    scores = {(q, i): s for (q, i), s in bm25(questions, docs).items() if i[0] == "x"}
+    assert_same(ranked(lexical.search(index, asked, 4, "kind = 'x'")), top(scores, 4))
+    index = lexical.build_index(corpus, per_block=200)
+    index = lexical.update_index(index, corpus.where("id = 'd001'").withColumn("text", F.lit("the w1")), corpus.where("id < 'd001'").select("id"))
+    docs = {i: "the w1" if i == "d001" else t for i, t in docs.items() if not i < "d001"}
+    assert_same(ranked(lexical.search(index, asked, 4)), top(bm25(questions, docs), 4))
+
+
+def test_places_and_fusion_by_look_up(spark, library):
+    """Ranks counted without writing the lists, copies by their ids; the fusion equals that of whole lists."""
+    questions, docs = library
+    asked, corpus = frames(spark, questions, docs)
+    indexes = [lexical.build_index(corpus, scheme, per_block=200) for scheme in ("bm25", "tfidf")]
+    whole = [top(brute(questions, docs), 1000) for brute in (bm25, tfidf)]
+    some = [(q, i) for q in questions for i in list(docs)[::7]]
+    pairs = spark.createDataFrame(some, "question_id string, id string")
+    for index, rows in zip(indexes, whole):
+        expected = {(q, i): n for q, n, i, _ in rows}
+        got = {(r.question_id, r.id): r["rank"] for r in lexical.places(index, asked, pairs).collect()}
+        assert got == {p: expected[p] for p in some if p in expected}
+    searches = [lambda a, n, i=i: lexical.search(i, a, n, prune=False) for i in indexes]
+    places = [lambda a, p, i=i: lexical.places(i, a, p) for i in indexes]
+    lists = [spark.createDataFrame([r[:3] for r in rows], "question_id string, rank int, id string") for rows in whole]
+    for damping in (1, 60):
+        got = ranked(fusion.fuse_looked_up(*searches, *places, asked, 3, damping))
+        assert_same(got, ranked(fusion.reciprocal_rank_fusion(*lists, 3, damping)))
+
+
+def test_vector_grid_equals_pairs(spark, monkeypatch):
+    """More queries than a group holds; copies, filters, and vectors of no length."""
+    draw = np.random.default_rng(4)
+    points = [*draw.normal(size=(150, 8)), *[draw.normal(size=8)] * 60, np.zeros(8)]
+    vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(points)], "id long, embedding array<double>")
+    asked = vectors.withColumnRenamed("id", "question_id")
+    index = dense.build_index(vectors, per_block=20)
+    for where in (None, "id % 2 = 1"):
+        monkeypatch.setattr(dense, "PAIRS", 10**9)
+        expected = ranked(dense.search_index(index, asked, 4, where))
+        monkeypatch.setattr(dense, "PAIRS", -1)
+        monkeypatch.setattr(dense, "GROUP_BYTES", 2000)
+        assert_same(ranked(dense.search_index(index, asked, 4, where)), expected)

@@ -174,3 +174,25 @@ def test_rollups(spark):
     assert {(r.source_type, r.difficulty): r.n_items for r in E.gold_profile(gold).collect()} == {
         ("policy", "easy"): 1, ("policy", "hard"): 1, ("policy", None): 2, (None, None): 2,
     }
+
+
+def test_stream_reads_a_file_or_a_folder_of_files(spark, tmp_path, monkeypatch):
+    """Turns in one file, in several files of a folder, and in none."""
+    from vitrine.plans import dialogue_plans as D
+
+    monkeypatch.setattr(D, "catalog", lambda *_: None)
+    monkeypatch.setattr(D, "policy_documents", lambda *_: spark.range(1))
+    monkeypatch.setattr(D, "chunk_index", lambda *_: (None, None))
+    monkeypatch.setattr(D.R, "inventory_texts", lambda *_: spark.range(1))
+    monkeypatch.setattr(D.A, "retrieve", lambda *_: None)
+    filled = [F.lit("x").alias(c) for c in ("answer", "sources", "tool_info", "context_chunks")]
+    monkeypatch.setattr(D.A, "answer_batch", lambda batch, *_, **__: batch.select("*", *filled[:1], F.array(F.lit("x")).alias("sources"), *filled[2:]))
+    turns = spark.createDataFrame([(i, 1, "user" if i % 2 else "assistant", f"t{i}") for i in range(20)], "conv_id long, turn int, role string, text string")
+    turns.repartition(3).write.parquet(f"{tmp_path}/folder/conversations.parquet")
+    turns.coalesce(1).write.parquet(f"{tmp_path}/one")
+    (tmp_path / "file").mkdir()
+    next((tmp_path / "one").glob("part-*")).rename(tmp_path / "file" / "conversations.parquet")
+    turns.limit(0).write.parquet(f"{tmp_path}/none/conversations.parquet")
+    for folder, expected in (("folder", 10), ("file", 10), ("none", 0)):
+        rows = D.stream_answers(spark, f"{tmp_path}/{folder}").collect()
+        assert sorted(r["query"] for r in rows) == sorted(f"t{i}" for i in range(1, 2 * expected, 2))

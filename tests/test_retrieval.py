@@ -341,3 +341,15 @@ def test_vector_grid_equals_pairs(spark, monkeypatch):
         monkeypatch.setattr(dense, "PAIRS", -1)
         monkeypatch.setattr(dense, "GROUP_BYTES", 2000)
         assert_same(ranked(dense.search_index(index, asked, 4, where)), expected)
+
+
+def test_fusion_by_look_up_of_repeated_ids(spark):
+    """Copies of ids fill the first ranks of both lists; an id has its best rank, as in whole lists."""
+    texts = [("a", "w x")] * 90 + [("b", "w y y z")] * 2 + [(f"c{n:02d}", "w " + "z " * n) for n in range(1, 20)]
+    corpus = spark.createDataFrame(texts, "id string, text string")
+    asked = spark.createDataFrame([("q1", "w x z"), ("q2", "y z"), ("q3", "none")], "question_id string, query string")
+    indexes = [lexical.build_index(corpus, scheme, per_block=60) for scheme in ("bm25", "tfidf")]
+    searches = [lambda a, n, i=i: lexical.search(i, a, n, prune=False) for i in indexes]
+    places = [lambda a, p, i=i: lexical.places(i, a, p) for i in indexes]
+    got = fusion.fuse_looked_up(*searches, *places, asked)
+    assert_same(ranked(got), ranked(fusion.fuse_whole_lists(*searches, asked)))

@@ -4,6 +4,7 @@ import string
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from vitrine.llm import secrets as S
 
@@ -112,3 +113,28 @@ def test_unlabelled_secrets_do_not_cost_recall():
     sure, truth = network.probabilities(windows[order][held]), labels[order][held]
     assert (sure[truth == 1] >= network.threshold).mean() == network.recall >= S.RECALL
     assert 0 < network.precision == (truth[sure >= network.threshold] == 1).mean() < 0.98
+
+
+def test_all_findings_teach(spark, corpus, monkeypatch):
+    found = S.labelled_findings(corpus).distinct().cache()
+    own = [{bytes(r.window) for r in found.where(f"label = {label}").collect()} for label in (0, 1)]
+    sizes = [len(x) for x in own]
+    parts = S._parts(found, sizes, 20).collect()
+    assert len(parts) == -(-max(sizes) // 20)
+    for name, windows in zip(("plain", "secret"), own):
+        assert {bytes(w) for p in parts for w in p[name]} == windows and all(0 < len(p[name]) < 60 for p in parts)
+    monkeypatch.setattr(S, "_PICKED", 5)  # the threshold's rank is found by narrowing
+    network = S.fit(corpus, per_part=20, recall=0.8)
+    rows = found.select("window", "label", (F.pmod(F.xxhash64("window"), F.lit(5)) == 4).alias("held")).where("held").collect()
+    sure = network.probabilities(np.stack([np.frombuffer(r.window, np.uint8) for r in rows]))
+    truth = np.array([r.label for r in rows])
+    good = (sure >= network.threshold)[truth == 1]
+    n = len(good)
+    assert good.sum() == n - int(0.2 * n + 1e-9) and network.recall == good.mean()
+
+
+def test_value_of_a_rank(spark, monkeypatch):
+    monkeypatch.setattr(S, "_PICKED", 3)
+    values = [0.5, -2.0, 7.25, 7.25, 7.25, 7.25, 7.25, 1e-9, 3.0, 3.0000001, 100.0]
+    rows = spark.createDataFrame([(v,) for v in values], "margin double")
+    assert [S._of_rank(rows, i) for i in range(len(values))] == sorted(values)

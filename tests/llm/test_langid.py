@@ -51,6 +51,37 @@ def test_sample_is_bounded_and_languages_alone_work(spark, labelled):
     assert {r.lang_pred for r in langid.predict(labelled, one).collect()} == {"en"}
 
 
+def exact(x, sign, steps=400, c=langid.C):
+    """One SVM on arrays in memory."""
+    weight = np.where(sign > 0, 0.5 / max(1, (sign > 0).sum()), 0.5 / max(1, (sign < 0).sum()))
+    w = np.zeros(x.shape[1])
+    ahead = w
+    for step in range(steps):
+        slope = ahead / c - 2 * x.T @ (weight * np.maximum(0, 1 - sign * (x @ ahead)) * sign)
+        moved = ahead - slope / (1 / c + 2)
+        ahead, w = moved + step / (step + 3) * (moved - w), moved
+    return w
+
+
+def test_all_rows_teach(spark, labelled):
+    # more rows of a language than the former bound of 400; the last ones alone hold some words
+    texts = [(i, f"{SAMPLES['en']} {i}" + " zqzq wkwk" * (i > 880), "en") for i in range(900)]
+    texts += [(1000 + i, f"{SAMPLES['de']} {i}", "de") for i in range(30)] + [(2000 + i, SAMPLES["fr"], "fr") for i in range(30)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string, lang string").repartition(5)
+    assert langid.learning_rows(docs, F.lit(True)).count() == len(texts)
+    model = langid.fit(docs, F.lit(True))
+    held = docs.select("doc_id", (F.pmod(F.xxhash64("doc_id"), F.lit(5)) == 4).alias("held")).collect()
+    held = {r.doc_id: r.held for r in held}
+    taught = [t for t in texts if not held[t[0]]]
+    x = np.stack([langid.features(np.frombuffer(t[1].encode(), np.uint8)) for t in taught])
+    kin = np.array([1 if t[2] != "fr" else -1 for t in taught])
+    pair = np.array([{"de": 1, "en": -1, "fr": 0}[t[2]] for t in taught])
+    assert model.families == ["germanic", "romance"] and model.pairs == [(0, 1)]
+    for column, side in ((0, kin), (2, pair)):
+        w = exact(x[side != 0], side[side != 0])
+        assert np.abs(model.weights[:, column] - w).max() < 0.01 * np.abs(w).max()
+
+
 def test_long_text_is_read_whole(monkeypatch):
     text = np.frombuffer(("abc déf " * 500).encode(), np.uint8)
     whole = langid.features(text)

@@ -3,11 +3,12 @@
 Texts become hashed counts of byte trigrams over letters (square roots, unit length).  One
 linear SVM per family, against the rest, picks the family; within it one-versus-one linear
 SVMs vote, ties going to the larger sum of margins.  Margins turn into probabilities by a
-scale fitted on a held-back fifth of the sample; the score is the family's probability
+scale fitted on a held-back fifth of the rows; the score is the family's probability
 times the least probability of the language's pairs.
 
-The classifier is fitted on at most about ``per_language`` documents of each language, a
-hash sample over all rows allowed for learning (a documented bound); prediction reads every
+The classifier is fitted on all rows allowed for learning, unless ``per_language`` asks for a
+hash sample: their trigram counts are stored once, and every step of an accelerated gradient
+descent adds up the slopes of all rows in the tasks that read them.  Prediction reads every
 whole text.  Language, source and id are no inputs of a prediction.
 
 A null text, or one without a letter, is ``und`` with score 0; so is every text if nothing
@@ -17,7 +18,7 @@ results.  The input's columns are kept; one named as a result is replaced.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -25,10 +26,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql import types as T
 
-from vitrine.llm.common import STRETCH, slices, utf8_rows
+from vitrine.llm.common import STRETCH, added, fixed, slices, utf8_rows
+from vitrine.session import Scratch
 
 BINS = 1 << 12
-PER_LANGUAGE = 400
 UNDETERMINED = "und"
 
 # ISO 639-1 codes by family; a code not listed is a family of its own.
@@ -66,8 +67,8 @@ def _letter_table() -> np.ndarray:
 _LETTER = _letter_table()
 
 
-def features(text: np.ndarray) -> np.ndarray:
-    """Hashed trigram counts of a whole text, square-rooted and of unit length."""
+def trigram_counts(text: np.ndarray) -> np.ndarray:
+    """Hashed trigram counts of a whole text."""
     counts = np.zeros(BINS)
     for at in range(0, max(len(text) - 2, 1), STRETCH):
         codes = _LETTER[text[at : at + STRETCH + 2]]
@@ -76,6 +77,12 @@ def features(text: np.ndarray) -> np.ndarray:
         triple = (codes[:-2] * np.uint32(160) + codes[1:-1]) * np.uint32(160) + codes[2:]
         some = triple[triple != 0]
         counts += np.bincount((some * np.uint32(2654435761)) >> np.uint32(20), minlength=BINS)
+    return counts
+
+
+def features(text: np.ndarray) -> np.ndarray:
+    """The counts of a text, square-rooted and of unit length."""
+    counts = trigram_counts(text)
     root = np.sqrt(counts)
     size = np.sqrt(counts.sum())
     return (root / size if size else root).astype(np.float32)
@@ -88,27 +95,6 @@ def has_letter(text: np.ndarray) -> bool:
     return bool(codes.any()) and any(c.isalpha() for c in text.tobytes().decode())
 
 
-def _fit(x: np.ndarray, sign: np.ndarray, steps: int = 200, c: float = 8.0) -> np.ndarray:
-    """A linear SVM with squared hinge loss; both classes weigh the same.  Accelerated gradient descent."""
-    weight = np.where(sign > 0, 0.5 / max(1, (sign > 0).sum()), 0.5 / max(1, (sign < 0).sum())).astype(np.float32)
-    w = np.zeros(x.shape[1], np.float32)
-    ahead, rate = w.copy(), 1.0 / (1.0 / c + 2.0)
-    for step in range(steps):
-        slack = np.maximum(0, 1 - sign * (x @ ahead))
-        slope = ahead / c - 2 * x.T @ (weight * slack * sign)
-        moved = ahead - rate * slope
-        ahead = moved + (step / (step + 3)) * (moved - w)
-        w = moved
-    return w
-
-
-def _scale(margins: np.ndarray, sign: np.ndarray) -> float:
-    """The factor that makes the logistic function of the margin the likeliest probability."""
-    scales = np.geomspace(0.5, 32, 25)
-    losses = [np.logaddexp(0, -a * margins * sign).mean() for a in scales]
-    return float(scales[int(np.argmin(losses))]) if len(margins) else 1.0
-
-
 @dataclass
 class Model:
     families: list[str]
@@ -138,35 +124,30 @@ class Model:
         return [self.languages[i] for i in best], score * least[np.arange(len(x)), best]
 
 
-def train(x: np.ndarray, languages: list[str]) -> Model | None:
-    """Fits all SVMs on four fifths of the rows, the scales on the rest; None without rows."""
-    if not len(x):
-        return None
-    y = np.array(languages)
-    codes = sorted(set(languages))
-    families = sorted({family_of(c) for c in codes})
-    kin = np.array([family_of(c) for c in languages])
-    held = np.arange(len(x)) % 5 == 4
-    tasks = [(np.ones(len(x), bool), np.where(kin == f, 1, -1)) for f in families]
+# regularisation of the SVMs, and steps of the descent, each a pass over the stored counts
+C = 8.0
+STEPS = 24
+_SCALES = np.geomspace(0.5, 32, 25)
+
+
+def _tasks(languages: list[str]) -> tuple[list[str], list[tuple[int, int]], np.ndarray]:
+    """The families, the pairs of languages within them, and the side (1, -1 or 0) of every language in every SVM."""
+    families = sorted({family_of(c) for c in languages})
+    sides = [[1 if family_of(c) == f else -1 for c in languages] for f in families]
     pairs = []
-    for a in range(len(codes)):
-        for b in range(a + 1, len(codes)):
-            if family_of(codes[a]) == family_of(codes[b]):
+    for a in range(len(languages)):
+        for b in range(a + 1, len(languages)):
+            if family_of(languages[a]) == family_of(languages[b]):
                 pairs.append((a, b))
-                tasks.append(((y == codes[a]) | (y == codes[b]), np.where(y == codes[a], 1, -1)))
-    columns, scales = [], []
-    for rows, sign in tasks:
-        fit = rows & ~held if (rows & ~held).any() else rows
-        w = _fit(x[fit], sign[fit].astype(np.float32))
-        test = rows & held
-        columns.append(w)
-        scales.append(_scale(x[test] @ w, sign[test]))
-    return Model(families, codes, pairs, np.stack(columns, 1), np.array(scales))
-
-
-def learning_rows(docs: DataFrame, allowed: Column, per_language: int = PER_LANGUAGE) -> DataFrame:
-    """A hash sample of about ``per_language`` rows of each language among the allowed ones."""
+                sides.append([1 if i == a else -1 if i == b else 0 for i in range(len(languages))])
+    return families, pairs, np.array(sides, np.float32).T
+
+
+def learning_rows(docs: DataFrame, allowed: Column, per_language: int | None = None) -> DataFrame:
+    """The allowed rows with an id, a language and a text, or a hash sample of about ``per_language`` of each language."""
     known = docs.where(allowed & F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    if per_language is None:
+        return known
     counts = {r.lang: r["count"] for r in known.groupBy("lang").count().collect()}  # a row per language
     part = F.lit(0.0)
     for lang, n in sorted(counts.items()):
@@ -175,27 +156,118 @@ def learning_rows(docs: DataFrame, allowed: Column, per_language: int = PER_LANG
     return known.where(draw < part)
 
 
-def fit(docs: DataFrame, allowed: Column, per_language: int = PER_LANGUAGE) -> Model | None:
-    """Fits on a bounded sample; its features, not its texts, reach the driver."""
-    sample = learning_rows(docs, allowed, per_language).select("doc_id", "lang", "text")
+def _counted(rows: DataFrame) -> DataFrame:
+    """``(lang, held, bins, counts)`` of every text with a letter; the lists hold the trigrams that occur."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            texts = list(utf8_rows(batch.column("text")))
-            keep = [i for i, t in enumerate(texts) if has_letter(t)]
+            keep, bins, counts = [], [], []
+            for i, text in enumerate(utf8_rows(batch.column("text"))):
+                if has_letter(text):
+                    all_counts = trigram_counts(text)
+                    some = np.flatnonzero(all_counts)
+                    keep.append(i)
+                    bins.append(some.astype(np.uint16).tobytes())
+                    counts.append(all_counts[some].astype(np.uint32).tobytes())
+            kept = pa.array(keep, pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("doc_id").cast(pa.string()).take(pa.array(keep, pa.int64())),
-                    batch.column("lang").take(pa.array(keep, pa.int64())),
-                    pa.array([features(texts[i]).tobytes() for i in keep], pa.binary()),
-                ],
-                names=["doc_id", "lang", "features"],
+                [batch.column("lang").take(kept), batch.column("held").take(kept), pa.array(bins, pa.binary()), pa.array(counts, pa.binary())],
+                names=["lang", "held", "bins", "counts"],
             )
 
-    rows = sorted(tuple(r) for r in sample.mapInArrow(run, "doc_id string, lang string, features binary").collect())
-    if not rows:
-        return None
-    return train(np.stack([np.frombuffer(r[2], np.float32) for r in rows]), [r[1] for r in rows])
+    held = (F.pmod(F.xxhash64("doc_id"), F.lit(5)) == 4).alias("held")
+    return rows.select("lang", held, "text").mapInArrow(run, "lang string, held boolean, bins binary, counts binary")
+
+
+def _vectors(batch: pa.RecordBatch) -> np.ndarray:
+    """Stored counts as ``features``."""
+    x = np.zeros((batch.num_rows, BINS), np.float32)
+    for row, bins, counts in zip(x, batch.column("bins").to_pylist(), batch.column("counts").to_pylist()):
+        values = np.frombuffer(counts, np.uint32)
+        row[np.frombuffer(bins, np.uint16)] = np.sqrt(values) / np.sqrt(max(1, values.sum(dtype=np.int64)))
+    return x
+
+
+def _summed(rows: DataFrame, languages: list[str], weights: np.ndarray, each: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray | None:
+    """The sum of ``each(vectors, languages' numbers, margins)`` over all stored rows."""
+    shared = rows.sparkSession.sparkContext.broadcast(weights)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for batch in slices(batches):
+            if batch.num_rows:
+                x = _vectors(batch)
+                number = np.searchsorted(languages, batch.column("lang").to_pylist())
+                one = fixed(each(x, number, x @ shared.value).ravel())
+                total = one if total is None else total + one
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["sums"])
+
+    total = added(rows.select("lang", "bins", "counts").mapInArrow(run, "sums binary"))
+    shared.destroy()
+    return total
+
+
+def _descended(rows: DataFrame, languages: list[str], sides: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """A linear SVM with squared hinge loss per task, a column each; both sides weigh the same.
+
+    Accelerated gradient descent for a function whose curvature lies between those of its two terms.
+    """
+    total = [np.maximum(1.0, ((sides == side) * counts[:, None]).sum(0)) for side in (1, -1)]
+    weight = np.where(sides > 0, 0.5 / total[0], np.where(sides < 0, 0.5 / total[1], 0))
+
+    def slopes(x: np.ndarray, number: np.ndarray, margins: np.ndarray) -> np.ndarray:
+        side = sides[number]
+        return x.T @ (weight[number] * np.maximum(0, 1 - side * margins) * side).astype(np.float32)
+
+    low, high = 1.0 / C, 1.0 / C + 2.0
+    onward = (1 - (low / high) ** 0.5) / (1 + (low / high) ** 0.5)
+    w = np.zeros((BINS, sides.shape[1]))
+    ahead = w
+    for _ in range(STEPS):
+        slope = ahead / C - 2 * _summed(rows, languages, ahead.astype(np.float32), slopes).reshape(w.shape)
+        moved = ahead - slope / high
+        ahead, w = moved + onward * (moved - w), moved
+    return w.astype(np.float32)
+
+
+def _scaled(rows: DataFrame, languages: list[str], sides: np.ndarray, counts: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """Per task, the factor that makes the logistic function of the margin the likeliest probability; 1 without rows."""
+    total = (np.abs(sides) * counts[:, None]).sum(0)
+
+    def losses(x: np.ndarray, number: np.ndarray, margins: np.ndarray) -> np.ndarray:
+        side = sides[number]
+        share = np.abs(side) / np.maximum(1, total)
+        return np.stack([(share * np.logaddexp(0, -scale * margins * side)).sum(0) for scale in _SCALES])
+
+    found = _summed(rows, languages, weights, losses) if total.any() else None
+    if found is None:
+        return np.ones(sides.shape[1])
+    return np.where(total > 0, _SCALES[found.reshape(len(_SCALES), -1).argmin(0)], 1.0)
+
+
+def fit(docs: DataFrame, allowed: Column, per_language: int | None = None) -> Model | None:
+    """All SVMs by the rows that may teach, but a held-back fifth, which gives the scales; None without rows.
+
+    Neither texts nor counts reach the driver, only sums over all rows.
+    """
+    scratch = Scratch(docs.sparkSession, "language")
+    rows = scratch.store(_counted(learning_rows(docs, allowed, per_language)), "trigrams")
+    counts = {(r.lang, r.held): r["count"] for r in rows.groupBy("lang", "held").count().collect()}  # two rows per language
+    model = None
+    if counts:
+        languages = sorted({lang for lang, _ in counts})
+        families, pairs, sides = _tasks(languages)
+        own, held = (np.array([counts.get((lang, side), 0) for lang in languages]) for side in (False, True))
+        learning = ~F.col("held")
+        alone = [lang for lang, n in zip(languages, own) if not n]
+        if alone:  # all of its few rows would be held back
+            learning |= F.col("lang").isin(alone)
+            own, held = np.where(own == 0, held, own), np.where(own == 0, 0, held)
+        weights = _descended(rows.where(learning), languages, sides, own)
+        model = Model(families, languages, pairs, weights, _scaled(rows.where(~learning), languages, sides, held, weights))
+    scratch.drop_others()
+    return model
 
 
 def predict(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame:

@@ -3,6 +3,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -353,3 +354,31 @@ def test_fusion_by_look_up_of_repeated_ids(spark):
     places = [lambda a, p, i=i: lexical.places(i, a, p) for i in indexes]
     got = fusion.fuse_looked_up(*searches, *places, asked)
     assert_same(ranked(got), ranked(fusion.fuse_whole_lists(*searches, asked)))
+
+
+def test_words_that_make_most_products_are_scored_as_rows():
+    """A word in 12 of 60 texts that all questions ask becomes a dense row, a word nobody asks does not; scores stay."""
+    draw = np.random.default_rng(5)
+    held = {"all": range(0, 60, 5), "one": [3, 4], "none": range(10, 30)}
+    rows = pa.Table.from_pylist(
+        [{"kind": 0, "term": None, "ids": [f"d{n:02d}" for n in range(60)], "numbers": [], "weights": []}]
+        + [{"kind": 3, "term": t, "ids": [], "numbers": list(n), "weights": draw.random(len(n)).tolist()} for t, n in held.items()],
+        pa.schema([("kind", pa.int32()), ("term", pa.string()), ("ids", pa.list_(pa.string())), ("numbers", pa.list_(pa.int32())), ("weights", pa.list_(pa.float64()))]),
+    )
+    asked = pa.table({"question_id": ["q0", "q1"], "terms": [["all", "one"], ["all", "unknown"]], "weights": [[2.0, 1.0], [3.0, 9.0]]})
+    block, questions = lexical._Block(rows, None), lexical._Asked(asked, 3)
+    of = {t: np.zeros(60) for t in held}
+    for row in rows.to_pylist()[1:]:
+        of[row["term"]][row["numbers"]] = row["weights"]
+    scores = np.zeros((2, 60))
+    for numbers, found in questions.scored(block, lambda part, bound: bound > 0):
+        scores[numbers] = found
+    assert np.allclose(scores, [2 * of["all"] + of["one"], 3 * of["all"]])
+    dense = {t for t, row in zip(block.terms.to_pylist(), block.dense_row) if row >= 0}
+    assert dense == {"all", "one"} and not (block.dense_row[block.terms.to_pylist().index("none")] >= 0)
+
+
+def test_cells_that_are_no_number_are_no_hits_under_a_floor():
+    scores = np.array([[np.nan, 2.0, 1.0, np.nan], [np.nan, -np.inf, 5.0, 4.0]])
+    row, column = blocks.top_cells(scores, 2, at_least=np.array([-np.inf, 4.5]))
+    assert list(zip(row.tolist(), column.tolist())) == [(0, 1), (0, 2), (1, 2)]

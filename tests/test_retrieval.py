@@ -382,3 +382,23 @@ def test_cells_that_are_no_number_are_no_hits_under_a_floor():
     scores = np.array([[np.nan, 2.0, 1.0, np.nan], [np.nan, -np.inf, 5.0, 4.0]])
     row, column = blocks.top_cells(scores, 2, at_least=np.array([-np.inf, 4.5]))
     assert list(zip(row.tolist(), column.tolist())) == [(0, 1), (0, 2), (1, 2)]
+
+
+def test_texts_move_once_into_an_index_with_facets(spark, library, monkeypatch):
+    """The facets are counted beside the words, so that the texts meet neither the corpus nor a second shuffle."""
+    questions, docs = library
+    asked, corpus = frames(spark, questions, docs)
+    corpus = corpus.withColumn("kind", F.substring("id", 1, 1))
+    stored, store = [], lexical.materialise
+    monkeypatch.setattr(lexical, "materialise", lambda df, name: (stored.append((name, df)), store(df, name))[1])
+    index = lexical.build_index(corpus, per_block=200, facets=("kind",))
+    moved = [df._jdf.queryExecution().executedPlan().toString().count("Exchange") for name, df in stored if name in ("placed-texts", "postings")]
+    assert sum(moved) == 1
+    assert_same(ranked(lexical.search(index, asked, 3, "kind = 'd'")), top({p: s for p, s in bm25(questions, docs).items() if p[1][0] == "d"}, 3))
+
+
+def test_texts_of_no_id_are_counted_but_no_hits_with_facets(spark):
+    corpus = spark.createDataFrame([("1", "a b", "x"), (None, "a c", "x"), ("2", "b", "y")], "id string, text string, kind string")
+    index = lexical.build_index(corpus, facets=("kind",))
+    asked = spark.createDataFrame([("q", "a c")], "question_id string, query string")
+    assert index.n_docs == 3 and [r[2] for r in ranked(lexical.search(index, asked, 3))] == ["1"]

@@ -375,7 +375,7 @@ def test_words_that_make_most_products_are_scored_as_rows():
         scores[numbers] = found
     assert np.allclose(scores, [2 * of["all"] + of["one"], 3 * of["all"]])
     dense = {t for t, row in zip(block.terms.to_pylist(), block.dense_row) if row >= 0}
-    assert dense == {"all", "one"} and not (block.dense_row[block.terms.to_pylist().index("none")] >= 0)
+    assert dense == {"all"}  # the rows have at most four times as many cells as there are postings
 
 
 def test_cells_that_are_no_number_are_no_hits_under_a_floor():

@@ -11,8 +11,8 @@ substrings, as in induced suffix sorting, where only names that repeat go on:
    repeats if it shares ``LENGTH`` bytes with a neighbour.
 3. The runs of an anchor with more than ``SHARD_ROWS`` different ones are cut into pieces of
    fewer starts first, and named by the core that all windows of a piece share, so that a
-   passage common to many documents is spread over many shards; pieces of one start are named
-   by the window itself and only counted.
+   passage common to many documents is spread over many shards; equal pieces repeat as a whole
+   and go on as one; pieces of one start are named by the window itself and only counted.
 
 Names are 64-bit hashes together with the anchor's 64 bits.  Texts are known by 96 bits of
 hashes, so that copies share one list of places.  Counts are partial per task, joins can be
@@ -40,7 +40,7 @@ from vitrine.session import materialise
 LENGTH = 200
 GRAM = 64
 SHARD_ROWS = 256
-PIECES = (16, 1)
+PIECES = (16, 4, 1)
 STRETCH_BITS = 20
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -245,18 +245,18 @@ def first_pass(rows: DataFrame, text: str, kept: list[T.StructField], length: in
     return rows.mapInArrow(run, schema)
 
 
-_SEGMENTS = "k1 long, k2 int, shard long, at int, n int, open boolean, text binary"
+_SEGMENTS = "k1 long, k2 int, shard long, at int, n int, open boolean, text binary, whole long"
 
 
 def cut(segments: DataFrame, starts: int, length: int, gram: int) -> DataFrame:
     """Segments cut into pieces of at most ``starts`` starts, named by the core that the windows of a piece share.
 
-    Pieces lie alike in all texts that share the anchor: their borders are counted from it.
+    Pieces lie alike in all texts that share the anchor: their borders are counted from it.  ``whole`` hashes all of a piece.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            take, columns = [], [[], [], [], []]
+            take, columns = [], [[], [], [], [], []]
             for i, (at, n, raw) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("at", "n", "text")))):
                 rolling = Rolling(np.frombuffer(raw, np.uint8))
                 grams = rolling.grams(gram)[: length - gram + 1]
@@ -269,11 +269,13 @@ def cut(segments: DataFrame, starts: int, length: int, gram: int) -> DataFrame:
                 with np.errstate(over="ignore"):
                     core = mix(rolling(begin, end) + block[first].astype(np.uint64) * np.uint64(_BASE))
                 number = np.diff(np.append(first, n))
+                whole = rolling(first, first + number + length - 1)
                 take += [i] * len(first)
                 columns[0] += core.view(np.int64).tolist()
                 columns[1] += (at + first).tolist()
                 columns[2] += number.tolist()
                 columns[3] += [raw[f : f + k + length - 1] if starts > 1 else b"" for f, k in zip(first.tolist(), number.tolist())]
+                columns[4] += whole.view(np.int64).tolist()
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("k1").take(pa.array(take, pa.int64())),
@@ -283,13 +285,28 @@ def cut(segments: DataFrame, starts: int, length: int, gram: int) -> DataFrame:
                     pa.array(columns[2], pa.int32()),
                     batch.column("open").take(pa.array(take, pa.int64())),
                     pa.array(columns[3], pa.binary()),
+                    pa.array(columns[4], pa.int64()),
                 ],
-                names=["k1", "k2", "shard", "at", "n", "open", "text"],
+                names=["k1", "k2", "shard", "at", "n", "open", "text", "whole"],
             )
 
     return segments.mapInArrow(run, _SEGMENTS)
 
 
+def unlike(pieces: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of pieces, the open starts (k1, k2, at, n) of those that occur again as a whole; and the segments left, one of equal ones.
+
+    What occurs again is not open any more: its copy goes on only for others that share a part of it.
+    """
+    place = F.xxhash64("k1", "k2", "at")
+    names = pieces.groupBy("shard", "whole", "n").agg(F.count("*").alias("c"), F.min(place).alias("least"))
+    again = names.where("c > 1")
+    known = materialise(pieces.join(again, ["shard", "whole", "n"], "left"), "pieces")
+    repeated = known.where("c is not null and open").select("k1", "k2", "at", "n")
+    left = known.where(F.col("c").isNull() | (place == F.col("least")))
+    return repeated, left.select("k1", "k2", "shard", "at", "n", (F.col("open") & F.col("c").isNull()).alias("open"), "text")
+
+
 def repeated_starts(shard: list[tuple], length: int) -> list[tuple[int, int, int, int]]:
     """(k1, k2, at, n) of the open starts of one shard that share ``length`` bytes with a neighbour in suffix order."""
     sorter = SuffixSorter(length)
@@ -348,18 +365,17 @@ def sort_shards(segments: DataFrame, length: int) -> DataFrame:
 def resolve(segments: DataFrame, length: int, gram: int, shard_rows: int) -> DataFrame:
     """(k1, k2, at, n): the starts of open segments whose windows occur elsewhere."""
     found = None
-    for starts in (*PIECES, 0):
+    for starts in PIECES:
         sizes = segments.groupBy("shard").agg(F.count("*").alias("c"), F.max("open").alias("any")).where("c > 1 and any")
         sized = materialise(segments.join(sizes.select("shard", "c"), "shard"), "segments")
-        if starts == 0:  # pieces of one start: the name is the window's
-            part = sized.where("open").select("k1", "k2", "at", "n")
-        else:
-            part = sort_shards(sized.where(F.col("c") <= shard_rows).drop("c"), length)
+        part = sort_shards(sized.where(F.col("c") <= shard_rows).drop("c"), length)
         found = part if found is None else found.union(part)
         large = sized.where(F.col("c") > shard_rows).drop("c")
-        if starts == 0 or not large.limit(1).count():
+        if not large.limit(1).count():
             return found
-        segments = cut(large, starts, length, gram)
+        # the last pieces are single windows: those not alone repeat as a whole, and nothing is left to sort
+        repeated, segments = unlike(materialise(cut(large, starts, length, gram), "cut"))
+        found = found.union(repeated)
     return found
 
 

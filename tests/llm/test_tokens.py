@@ -119,3 +119,14 @@ def test_store_has_page_indexes(odd_docs, tmp_path):
     column = pq.ParquetFile(glob.glob(f"{path}/*.parquet")[0]).metadata.row_group(0)
     tokens = [column.column(i) for i in range(column.num_columns) if column.column(i).path_in_schema.startswith("tokens")][0]
     assert tokens.has_offset_index and any("DICTIONARY" in e for e in tokens.encodings)
+
+
+def test_latin_words_are_encoded_many_at_a_time(monkeypatch):
+    with open(WORDS) as lines:
+        encoder = token_files.ChunkEncoder(lines.read(), True)
+    reference = Tokenizer.from_file(WORDS)
+    text = " ".join(["Élan", "été.", "ÀÉÎ", "Cionado", "straße,", "ªº", "µm", "Ñandú", "ÿ", "Þorn", "naïf", "plain", "x×y", "Ÿes", "ét"])
+    alone, whole = [], encoder._encode
+    monkeypatch.setattr(encoder, "_encode", lambda x: alone.append(x) or whole(x))
+    assert np.frombuffer(encoder.packed([text])[0], "<u4").tolist() == reference.encode(text, add_special_tokens=False).ids
+    assert set(alone) <= {".", ",", "x×y", "ét"}  # not a call for each word

@@ -46,6 +46,11 @@ _ODD_SPACE = re.compile("[\x1c-\x1f]")
 _ENDING = string.punctuation
 
 
+def _latin(word: str) -> bool:
+    """Whether these are letters up to U+00FF: composed, with one lower-case letter each."""
+    return max(word) < "\u0100" and word.isalpha()
+
+
 class _Generations:
     """A memo of two generations: when the young one is full it becomes the old one, from which entries return on use."""
 
@@ -84,10 +89,13 @@ class ChunkEncoder:
         self.tokenizer.encode_special_tokens = True  # their names in a text are text
         self.split_chunks = split_chunks
         self.memo, self.words = _Generations(), _Generations()
-        # for lower-case ASCII words, which normalising leaves alone
+        # for lower-case ASCII and Latin-1 words, which normalising leaves alone; the latter are spelled in bytes
         self.letters = Tokenizer(self.tokenizer.model) if split_chunks else None
-        if self.letters:
+        self.latin = Tokenizer(self.tokenizer.model) if split_chunks else None
+        if split_chunks:
             self.letters.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+            in_bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+            self.latin.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), in_bytes])
         suffix = json.loads(content)["model"].get("end_of_word_suffix") or ""
         vocabulary = self.tokenizer.get_vocab()
         self.ends_word = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
@@ -113,7 +121,7 @@ class ChunkEncoder:
         halves: dict[str, tuple[str, str]] = {}
         for chunk in chunks:
             word = chunk.rstrip(_ENDING)
-            split = len(word) < len(chunk) and word[-1:].isalnum() and word[-1].isascii()
+            split = len(word) < len(chunk) and word[-1:].isalnum() and (word[-1].isascii() or _latin(word[-1]))
             halves[chunk] = (word, chunk[len(word) :]) if split else (chunk, "")
         new = self.words.unknown({x for pair in halves.values() for x in pair})
         known = self.words.young
@@ -122,7 +130,13 @@ class ChunkEncoder:
         # words of letters alone are one token run each, which ends where a token ends a word
         words = [x for x in new if x.isalpha()]
         self._encode_words([x for x in words if x.isascii() and x.islower()], self.letters, known)
-        self._encode_words([x for x in words if not x.isascii()], self.tokenizer, known)
+        latin: dict[str, list[str]] = {}
+        for word in filter(_latin, new.difference(known).intersection(words)):
+            latin.setdefault(word.lower(), []).append(word)
+        small: dict[str, bytes] = {}
+        self._encode_words(list(latin), self.latin, small)
+        known.update((word, ids) for low, ids in small.items() for word in latin[low])
+        self._encode_words([x for x in words if not x.isascii() and x not in known], self.tokenizer, known)
         for word in new.difference(known):
             known[word] = self._encode(word)
         memo = self.memo.young
@@ -134,7 +148,7 @@ class ChunkEncoder:
         """One call for many words; left to the caller if the ids can't be told apart."""
         for at in range(0, len(words), 4096):
             some = words[at : at + 4096]
-            ids = np.array(tokenizer.encode(" ".join(some), add_special_tokens=False).ids, "<u4")
+            ids = np.array(tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
             ends = (np.flatnonzero(self.ends_word[ids]) + 1).tolist()
             if len(ends) == len(some) and ends[-1] == len(ids):
                 packed, first = ids.tobytes(), 0

@@ -58,6 +58,11 @@ def test_decodes_any_ids_as_the_library(encoder, library, model):
     same()
 
 
+def test_control_ids_part_bytes(encoder, library):
+    for ids in ([197, 1, 131], [197, 131], [1, 197, 2, 131, 131], [1], [], [29871, 1, 29871]):
+        assert encoder.decoded(ids) == library.decode(ids)
+
+
 def test_words_against_plain_merges(encoder):
     @settings(max_examples=300, deadline=None)
     @given(st.text("abcdeinrstou", min_size=1, max_size=30))

@@ -261,11 +261,21 @@ class Encoder:
 
     def decoded(self, ids: list[int]) -> str:
         """The text of ids: marks are spaces, but for the one before the text; a byte that is no UTF-8 becomes U+FFFD."""
-        raw = b"".join(map(self.bytes_of.__getitem__, ids))
-        first = next((i for i in ids if self.bytes_of[i]), None)
-        if first is not None and self.opening[first] and raw[:1] == b" ":
-            raw = raw[1:]
-        return raw.decode("utf-8", "one_by_one")
+        pieces = list(map(self.bytes_of.__getitem__, ids))
+        first = next((i for i, piece in enumerate(pieces) if piece), None)
+        if first is not None and self.opening[ids[first]] and pieces[first][:1] == b" ":
+            pieces[first] = pieces[first][1:] or None
+        if b"" not in pieces:
+            return b"".join(filter(None, pieces)).decode("utf-8", "one_by_one")
+        # bytes on both sides of a control id are no character together
+        text, run = [], []
+        for piece in (*pieces, b""):
+            if piece == b"":
+                text.append(b"".join(run).decode("utf-8", "one_by_one"))
+                run = []
+            elif piece:
+                run.append(piece)
+        return "".join(text)
 
 
 codecs.register_error("one_by_one", lambda e: ("�", e.start + 1))

@@ -402,3 +402,46 @@ def test_texts_of_no_id_are_counted_but_no_hits_with_facets(spark):
     index = lexical.build_index(corpus, facets=("kind",))
     asked = spark.createDataFrame([("q", "a c")], "question_id string, query string")
     assert index.n_docs == 3 and [r[2] for r in ranked(lexical.search(index, asked, 3))] == ["1"]
+
+
+def test_index_has_a_row_a_block_of_texts_alike(spark, monkeypatch):
+    """Blocks are rows of narrow numbers; texts of two languages lie in blocks of their own, and early blocks give floors."""
+    random.seed(11)
+    vocabulary = {"a": ["the", *[f"a{n}" for n in range(30)]], "b": ["und", *[f"b{n}" for n in range(30)]]}
+    docs = {f"{n:03d}": " ".join([vocabulary["ab"[n % 2]][0]] * 5 + random.choices(vocabulary["ab"[n % 2]], k=12)) for n in range(200)}
+    questions = {f"q{n}": " ".join(random.choices(vocabulary["ab"[n % 2]], k=4)) for n in range(10)}
+    asked, corpus = frames(spark, questions, docs)
+    index = lexical.build_index(corpus, per_block=100)
+    rows = index.packed.select("block", "ids", F.split("words", "\n").alias("words")).collect()
+    assert len({r.block for r in rows}) == len(rows) <= index.n_blocks
+    assert sorted(i for r in rows for i in r.ids) == sorted(docs)
+    assert sum({"the", "und"} <= set(r.words) for r in rows) <= 1
+    monkeypatch.setattr(lexical, "FIRST_BLOCKS", 2)
+    for scheme, brute in (("bm25", bm25), ("tfidf", tfidf)):
+        index = lexical.build_index(corpus, scheme, per_block=100)
+        assert index.n_blocks >= 8
+        assert_same(ranked(lexical.search(index, asked, 3, prune=False)), top(brute(questions, docs), 3))
+
+
+@pytest.mark.parametrize("floor", [-np.inf, 0.1, 1.5])
+def test_texts_that_reach_a_floor_have_exact_scores(floor):
+    draw = np.random.default_rng(6)
+    held = {f"w{t}": np.flatnonzero(draw.random(300) < f) for t, f in enumerate(np.linspace(0.01, 0.9, 25))}
+    of = {t: np.zeros(300) for t in held}
+    for t, n in held.items():
+        of[t][n] = draw.random(len(n))
+    rows = pa.Table.from_pylist(
+        [{"kind": 0, "term": None, "ids": [f"d{n:03d}" for n in range(300)], "numbers": [], "weights": []}]
+        + [{"kind": 3, "term": t, "ids": [], "numbers": n.tolist(), "weights": of[t][n].tolist()} for t, n in held.items()],
+        pa.schema([("kind", pa.int32()), ("term", pa.string()), ("ids", pa.list_(pa.string())), ("numbers", pa.list_(pa.int32())), ("weights", pa.list_(pa.float64()))]),
+    )
+    terms = [["w0", "w3", "w24", "unknown"], ["w1", "w2"], list(held)]
+    weights = [draw.random(len(t)).tolist() for t in terms]
+    asked = pa.table({"question_id": ["q0", "q1", "q2"], "terms": terms, "weights": weights, "floor": [floor] * 3})
+    block, questions = lexical._Block(rows, None), lexical._Asked(asked, 3)
+    questions.search(block)
+    found = [tuple(r.values()) for part in questions.best.rows(questions.keys) for r in part.to_pylist()]
+    exact = {(f"q{q}", f"d{n:03d}"): s for q in range(3) for n, s in enumerate(sum(w * of.get(t, np.zeros(300)) for t, w in zip(terms[q], weights[q])))}
+    expected = [(q, i, s) for q, _, i, s in top({p: s for p, s in exact.items() if s > 0}, 3) if s >= floor - 2e-6]
+    assert [r[:2] for r in found] == [r[:2] for r in expected]
+    assert [r[2] for r in found] == pytest.approx([r[2] for r in expected], abs=1.1e-6)
